@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Workspace
 
-#: Distinct words whose ids a worker keeps; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+#: Distinct words of each of two generations that a worker keeps the ids of; a full generation replaces the older one.
+KEPT_WORDS = 500_000
+#: By tokenizer: what this worker process has made so far, for its later tasks.
+_MADE: dict[int, WordIds] = {}
 
 
 class WordIds:
@@ -52,19 +54,25 @@ class WordIds:
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
         # fixed values: the word pattern of byte-level BPE
         self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
+        plain_bytes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # written as themselves by byte-level BPE, the others as 256 and on
+        self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain_bytes)}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         whole = [self.find is None or any(a in t for a in self.added) for t in texts]
         words = [() if w else self.find(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        missing = list({w for ws in words for w in ws} - self.known.keys())
-        for at in range(0, len(missing), 50_000):
-            part = missing[at : at + 50_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.older, self.known = self.known, {}
+        missing = list(set().union(*words) - self.known.keys())
+        if self.older:
+            again = [w for w in missing if w in self.older]
+            self.known.update((w, self.older[w]) for w in again)
+            missing = [w for w in missing if w not in self.older]
+        merge, letters = self.tokenizer.model.tokenize, self.letters
+        for w in missing:
+            self.known[w] = np.array([x.id for x in merge(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
         get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, ws)) for t, w, ws in zip(texts, whole, words, strict=True)]
 
@@ -78,9 +86,9 @@ def _pieces(model: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, ids, seen = TaskContext.get().partitionId(), None, defaultdict(int)
+        task, seen, key = TaskContext.get().partitionId(), defaultdict(int), hash(model)
         for batch in batches:
-            ids = ids or WordIds(model)
+            ids = _MADE.get(key) or _MADE.setdefault(key, WordIds(model))
             keys, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             while at < len(keys):
                 size, till, held = 0, at, []
