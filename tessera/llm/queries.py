@@ -27,12 +27,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_copies
+
+    return near_copies(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
     return token_counts(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model")).drop("digest")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op5_packing, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op5_packing, op7_jaccard_join, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
