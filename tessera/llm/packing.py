@@ -14,7 +14,9 @@ taking the remainder; repeated rows are packed each; other columns are ignored;
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
@@ -26,11 +28,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Workspace
 
 #: Distinct words of each of two generations that a worker keeps the ids of; a full generation replaces the older one.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 #: By tokenizer: what this worker process has made so far, for its later tasks.
 _MADE: dict[int, WordIds] = {}
 
 
+class _Known(dict):
+    """Ids by word; a missing word's come from the older generation, or are made."""
+
+    def __init__(self, make, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.older.get(word) or self.make(word)
+        return ids
+
+
 class WordIds:
     """Token ids by words: byte-level BPE never merges over the words its own splitter makes, so each is encoded once.
 
@@ -40,6 +54,7 @@ class WordIds:
     def __init__(self, model: str) -> None:
         import json
         import os
+        import re
 
         import regex
         from tokenizers import Tokenizer
@@ -53,28 +68,31 @@ class WordIds:
         pre = spec.get("pre_tokenizer") or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and spec.get("normalizer") is None
         # fixed values: the word pattern of byte-level BPE
-        self.find = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.find = regex.compile(pattern).findall if plain else None
+        # the same for texts of ASCII and Latin letters beyond it, where the classes are short ranges
+        latin, space = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r" \t\n\r\f\v"
+        self.beyond = re.compile(rf"[^\x00-\x7f{latin}]").search
+        self.find_latin = re.compile(rf" ?[{latin}]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^{space}{latin}0-9]++|[{space}]+(?![^{space}])|[{space}]+").findall
         plain_bytes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # written as themselves by byte-level BPE, the others as 256 and on
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain_bytes)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self._ids, {})
+
+    def _ids(self, word: str) -> bytes:
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        whole = [self.find is None or any(a in t for a in self.added) for t in texts]
-        words = [() if w else self.find(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.known) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
-        missing = list(set().union(*words) - self.known.keys())
-        if self.older:
-            again = [w for w in missing if w in self.older]
-            self.known.update((w, self.older[w]) for w in again)
-            missing = [w for w in missing if w not in self.older]
-        merge, letters = self.tokenizer.model.tokenize, self.letters
-        for w in missing:
-            self.known[w] = np.array([x.id for x in merge(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, ws)) for t, w, ws in zip(texts, whole, words, strict=True)]
+            older, self.known.older = dict(self.known), {}
+            self.known = _Known(self._ids, older)
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            if self.find is None or any(a in t for a in self.added):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(get, (self.find_latin if t.isascii() or not self.beyond(t) else self.find)(t))))
+        return out if sys.byteorder == "little" else [np.frombuffer(x, np.uint32).astype("<u4").tobytes() for x in out]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
