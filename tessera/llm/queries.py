@@ -21,12 +21,26 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    vectors = read(spark, sf_dir, "embeddings")
+    width = vectors.where("embedding is not null").agg(F.mode(F.size("embedding"))).first()[0]
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), width or 1)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import balance_bytes
+
+    return balance_bytes(read(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_copies
 
@@ -45,6 +59,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op5_packing, op7_jaccard_join, op9_token_counts, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op4_nearest, op5_packing, op6_sharding, op7_jaccard_join, op9_token_counts, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
