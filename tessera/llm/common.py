@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,6 +61,11 @@ class Workspace:
         if path := getattr(df, "_tessera_path", None):
             self._remove(path)
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of plans whose results are written; it does so when the driver's JVM collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         try:
             jvm = self.spark._jvm

@@ -35,6 +35,7 @@ from .components import components
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SKETCH_BITS = 20
 HASHES, BAND = 24, 2
+SMALL_BINS = 1024
 #: Set sizes (from, to) of a family of combinations, and its number of frequent classes. Families overlap by the size ratio
 #: that a link allows; sets of up to SMALL tokens are also indexed by single tokens.
 FAMILIES = [(9, 200, 8), (170, 2000, 32), (1700, 30_000, 256), (25_500, 1 << 62, 4096)]
@@ -78,14 +79,52 @@ def nodes_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-SCANNED = "doc_id long, node long, n long, sketch array<long>, counts binary"
+SCANNED = "doc_id long, node long, n long, sketch array<long>, small array<long>, bins binary, counts binary"
+
+
+def bins_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """For each set, which hash ranges hold a token, as bits: a token whose range the other set lacks isn't shared.
+
+    Of SMALL_BINS ranges, 64 to an integer; and of at least two ranges for each token, a power of two. Bits of the longer of
+    two folded in halves are those of the shorter.
+    """
+    small, large, at = np.zeros((len(sizes), SMALL_BINS // 64), np.int64), [], 0
+    for k, n in enumerate(sizes.tolist()):
+        held = np.zeros(max(SMALL_BINS, 1 << (2 * n - 1).bit_length() if n else 0), np.uint8)
+        held[((h[at : at + n] >> np.uint64(8)) & np.uint64(len(held) - 1)).astype(np.int64)] = 1
+        large.append(np.packbits(held).tobytes())
+        small[k] = np.packbits(held.reshape(-1, SMALL_BINS).max(0)).view(np.int64)
+        at += n
+    return small, large
+
+
+def most_shared(n: int, a: bytes, m: int, b: bytes) -> int:
+    """An upper bound of the tokens that two sets share."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _likely(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, a, m, b = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
+            keep = [(100 + percent) * most_shared(*x) >= percent * (x[0] + x[2]) for x in zip(n, a, m, b, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
 
 
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        names = ["doc_id", "node", "n", "sketch", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["doc_id", "node", "n", "sketch", "small", "bins", "counts"]
         for batch in batches:
             for a, b, texts in chunks(batch, 1):
                 h, sizes = shingles(texts, width)
@@ -97,9 +136,9 @@ def _scan(width: int):
                         sketch[some, k] = np.minimum.reduceat(h * seed, begin[some])
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 counts += np.bincount((h[np.repeat(fresh, sizes)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, HASHES * len(texts) + 1, HASHES, dtype=np.int32)), pa.array(sketch.ravel().view(np.int64)))
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), lists, pa.nulls(b - a, pa.binary())], names)
-        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, -1, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
+                small, bins = bins_of(h, sizes)
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, -1, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
 
     return run
 
@@ -218,8 +257,8 @@ class Join:
         self.work = Workspace(docs.sparkSession, "jaccard-join")
         self.scanned = self.work.write(docs.mapInArrow(_scan(width), SCANNED), "scanned")
         sets = self.scanned.where("n > 0")
-        # rows of a node agree in n and sketch, so any will do
-        self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "nodes")
+        # rows of a node agree in n, sketch and bins, so any will do
+        self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("bins").alias("bins")), "nodes")
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None
 
@@ -243,7 +282,9 @@ class Join:
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of the pairs (u, v) that link, and joins the components anew."""
-        pairs = self.work.write(pairs.select("u", "v").distinct(), "pairs")
+        side = lambda k, n: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bins").alias(f"b{k}"))
+        pairs = pairs.select("u", "v").distinct().join(side("u", "n"), "u").join(side("v", "m"), "v")
+        pairs = self.work.write(pairs.select("u", "v", "n", "bu", "m", "bv").mapInArrow(_likely(self.percent), "u long, v long"), "pairs")
         if pairs.isEmpty():
             return
         ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
@@ -253,6 +294,7 @@ class Join:
         held = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         new = self.work.write(held.select("u", "v", "a", "b").mapInArrow(_verified(self.width, self.percent), "u long, v long"), "links")
         self.links = new if self.links is None else self.links.union(new)
+        self.work.free()
         known = self.joined.select(F.col("node").alias("u"), F.col("component").alias("v")) if self.joined is not None else None
         self.joined = components(new if known is None else new.union(known), self.work)
 
@@ -267,10 +309,15 @@ class Join:
         signed = self.work.write(signed.withColumn("component", F.coalesce("component", "node")), "signed")
         rows = signed.select(F.explode("signatures").alias("signature"), "node", "n", "component")
         live = rows.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("signature")
-        rows = self.work.write(rows.join(live, "signature"), "live")
+        rows = rows.join(live, "signature")
+        rows = self.work.write(rows.join(self.nodes.select("node", "small"), "node"), "live")
         self.work.drop(signed)
-        left, right = rows.select("signature", F.col("node").alias("u"), "n", F.col("component").alias("cu")), rows.select("signature", F.col("node").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
-        return left.join(right, "signature").where(self.similar_sizes() & (F.col("cu") < F.col("cv")))
+        left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}")) for k, n in (("u", "n"), ("v", "m")))
+        apart = lambda a, b: sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(SMALL_BINS // 64)), F.lit(0))
+        shared = F.least(F.col("n") - apart("su", "sv"), F.col("m") - apart("sv", "su"))  # at most; inside the join, so that a large group leaves few pairs
+        fits = (F.col("cu") < F.col("cv")) & self.similar_sizes() & ((100 + self.percent) * shared >= self.percent * (F.col("n") + F.col("m")))
+        left, right = left.alias("l"), right.alias("r")
+        return left.join(right, (F.col("l.signature") == F.col("r.signature")) & fits).select("u", "v")
 
     def run(self) -> DataFrame:
         near = self.leaders()

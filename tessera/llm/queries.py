@@ -15,6 +15,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .surrogates import replace
+
+    return replace(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -47,6 +53,12 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(read(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -59,6 +71,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_decontamination, op4_nearest, op5_packing, op6_sharding, op7_jaccard_join, op9_token_counts, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_surrogates, op3_decontamination, op4_nearest, op5_packing, op6_sharding, op7_jaccard_join, op8_url_filter, op9_token_counts, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
