@@ -9,12 +9,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .surrogates import replace
 
@@ -38,7 +45,7 @@ def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +69,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
-    return token_counts(read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model")).drop("digest")
+    return token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("digest")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +78,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_surrogates, op3_decontamination, op4_nearest, op5_packing, op6_sharding, op7_jaccard_join, op8_url_filter, op9_token_counts, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_surrogates, op3_decontamination, op4_nearest, op5_packing, op6_sharding, op7_jaccard_join, op8_url_filter, op9_token_counts, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
