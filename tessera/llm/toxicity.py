@@ -16,7 +16,6 @@ one class only, every score is 0; other columns are ignored; an empty table give
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bound of the fitting sample, in labelled rows, and of the words that carry a weight.
-SAMPLE, WORDS = 16_000, 400
+SAMPLE, WORDS = 8_000, 400
 #: Bytes to bytes: what isn't a letter becomes a space, capitals small.
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 #: Bytes of a stem.
@@ -60,22 +59,25 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)], ["words", "patterns", "toxic"])
 
 
-def lexicon(sets: list[set[bytes]], y: np.ndarray) -> list[tuple[bytes, float]]:
-    """The words that tell most about the label by their likelihood ratio, with their log odds."""
-    on, off = Counter(), Counter()
-    for s, label in zip(sets, y, strict=True):
-        (on if label else off).update(s)
-    a, b = int(y.sum()), int(len(y) - y.sum())
-    scored = []
-    for w in on.keys() | off.keys():
-        p, q = on[w], off[w]
-        if p + q >= 8:
-            odds = np.log((p + 0.5) / (a - p + 0.5)) - np.log((q + 0.5) / (b - q + 0.5))
-            share = (p + q) / (a + b)
-            tells = sum(n * np.log(n / (size * of)) for n, size, of in ((p, a, share), (q, b, share), (a - p, a, 1 - share), (b - q, b, 1 - share)) if n)
-            scored.append((float(tells), w, float(odds)))
-    scored.sort(key=lambda x: (-x[0], x[1]))
-    return [(w, o) for _, w, o in scored[:WORDS]]
+def interned(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words of all texts (each its words joined by spaces), and for each text the numbers of its own."""
+    number: dict[bytes, int] = {}
+    held = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
+    return list(number), held
+
+
+def lexicon(vocabulary: list[bytes], held: list[np.ndarray], y: np.ndarray) -> list[tuple[int, float]]:
+    """The words (by number) that tell most about the label by their likelihood ratio, with their log odds."""
+    count = lambda of: np.bincount(np.concatenate([np.zeros(0, np.int32), *(h for h, label in zip(held, y, strict=True) if label == of)]), minlength=len(vocabulary)).astype(float)
+    p, q, a, b = count(True), count(False), float(y.sum()), float(len(y) - y.sum())
+    share = (p + q) / (a + b)
+    tells = np.zeros(len(vocabulary))
+    for n, expected in ((p, a * share), (q, b * share), (a - p, a * (1 - share)), (b - q, b * (1 - share))):
+        tells += np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    odds = np.log((p + 0.5) / (a - p + 0.5)) - np.log((q + 0.5) / (b - q + 0.5))
+    common = np.flatnonzero(p + q >= 8)
+    best = sorted(common.tolist(), key=lambda w: (-tells[w], vocabulary[w]))[:WORDS]
+    return [(w, float(odds[w])) for w in best]
 
 
 def voters(chosen: list[tuple[bytes, float]]) -> list[tuple[frozenset[bytes], int]]:
@@ -159,15 +161,24 @@ def classify(x: np.ndarray, target: np.ndarray, penalty: float = 3.0, steps: int
 class Model:
     """Weights by word, lexicon voters and pattern voters."""
 
-    def __init__(self, sets: list[set[bytes]], shown: list[list[int]], y: np.ndarray, cut: float) -> None:
-        chosen = lexicon(sets, y)
-        self.words = [w for w, _ in chosen]
-        self.voters = voters(chosen)
-        ruled = np.array([[vote * bool(s & lex) for lex, vote in self.voters] + p for s, p in zip(sets, shown, strict=True)], np.int8)
+    def __init__(self, texts: list[bytes], shown: list[list[int]], y: np.ndarray, cut: float) -> None:
+        vocabulary, held = interned(texts)
+        chosen = lexicon(vocabulary, held, y)
+        column = np.full(len(vocabulary), -1)
+        column[[w for w, _ in chosen]] = np.arange(len(chosen))
+        self.index = {vocabulary[w]: k for k, (w, _) in enumerate(chosen)}
+        self.voters = voters([(vocabulary[w], odds) for w, odds in chosen])
+        x = np.zeros((len(held), len(chosen)))
+        for r, h in enumerate(held):
+            k = column[h]
+            x[r, k[k >= 0]] = 1
+        ruled = [vote * x[:, [self.index[w] for w in lex]].any(1) for lex, vote in self.voters]
+        ruled = np.concatenate([np.array(ruled, np.int8).reshape(len(ruled), len(x)).T, np.array(shown, np.int8)], 1)
         self.posterior = LabelModel().fit(np.concatenate([ruled, np.where(y, 1, -1).astype(np.int8)[:, None]], 1))
-        weights = classify(self._matrix(sets, ruled), self.posterior)
-        self.bias, self.word_weights, self.vote_weights = weights[0], weights[1 : 1 + len(self.words)], weights[1 + len(self.words) :]
-        raw = self._matrix(sets, ruled) @ weights[1:] + self.bias
+        x = np.concatenate([x, ruled], 1)
+        weights = classify(x, self.posterior)
+        self.bias, self.word_weights, self.vote_weights = weights[0], weights[1 : 1 + len(chosen)], weights[1 + len(chosen) :]
+        raw = x @ weights[1:] + self.bias
         # the cut of the best F measure against the posterior labels, in the middle of its gap
         order = np.argsort(-raw, kind="stable")
         hit = np.cumsum(self.posterior[order])
@@ -176,19 +187,10 @@ class Model:
         at = raw[order[k]]
         below = raw[order[k + 1]] if k + 1 < len(raw) else at - 1
         self.shift = np.log(cut / (1 - cut)) - (at + below) / 2
-        self.index = {w: i for i, w in enumerate(self.words)}
-
-    def _matrix(self, sets: list[set[bytes]], ruled: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(sets), len(self.words) + ruled.shape[1]), np.float32)
-        index = {w: i for i, w in enumerate(self.words)}
-        for r, s in enumerate(sets):
-            x[r, [index[w] for w in s if w in index]] = 1
-        x[:, len(self.words) :] = ruled
-        return x.astype(np.float64)
 
     def score(self, text: bytes) -> float:
         s = words(text)
-        known = [self.index[w] for w in s & self.index.keys()]
+        known = [self.index[w] for w in self.index.keys() & s]
         z = self.bias + self.word_weights[known].sum() + self.shift
         votes = [vote * bool(s & lex) for lex, vote in self.voters] + patterns(text, len(s))
         return float(1 / (1 + np.exp(-np.clip(z + self.vote_weights @ np.array(votes, float), -40, 40))))
@@ -211,12 +213,15 @@ def training_fold(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> Model | None:
     ids = labels.where("toxic is not null and doc_id is not null").where(training_fold(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(_described, "words binary, patterns binary, toxic int").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["words"], r["patterns"], r["toxic"]))
-    y = np.array([r["toxic"] for r in rows], bool)
-    if not len(y) or y.all() or not y.any():
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(_described, "words binary, patterns binary, toxic int").toArrow()
+    rows = [c.to_pylist() for c in rows.columns] if rows.num_rows else []
+    if not rows:
+        return None
+    rows = sorted(zip(*rows, strict=True))
+    y = np.array([r[2] for r in rows], bool)
+    if y.all() or not y.any():
         return None
-    return Model([set(r["words"].split()) for r in rows], [list(r["patterns"]) for r in rows], y, cut)
+    return Model([r[0] for r in rows], [list(r[1]) for r in rows], y, cut)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
