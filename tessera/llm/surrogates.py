@@ -185,15 +185,15 @@ def replace(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_
     """The rows of ``docs`` with surrogates in the text, and n_entities (mentions replaced)."""
     work = Workspace(docs.sparkSession, "surrogates")
     text = F.col(text_col)
-    found = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("t"), F.array_distinct(mentions(text)).alias("all")).where(F.size("all") > 0)
+    found = docs.select(F.col(id_col).alias("__i"), F.xxhash64(text).alias("__t"), F.array_distinct(mentions(text)).alias("all")).where(F.size("all") > 0)
     found = work.write(found.distinct(), "found")
-    each = found.select("i", "t", F.explode("all").alias("m")).withColumn("kind", kind(F.col("m"))).withColumn("canonical", canonical(F.col("m"), F.col("kind")))
+    each = found.select("__i", "__t", F.explode("all").alias("m")).withColumn("kind", kind(F.col("m"))).withColumn("canonical", canonical(F.col("m"), F.col("kind")))
     table = surrogate_table(work.write(each.select("kind", "canonical").distinct(), "entities"), key, work)
     each = each.join(table, ["kind", "canonical"]).withColumn("new", poured(F.col("m"), F.col("kind"), F.col("surrogate")))
-    maps = each.groupBy("i", "t").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("map"))
+    maps = each.groupBy("__i", "__t").agg(F.map_from_entries(F.collect_list(F.struct("m", "new"))).alias("__map"))
     maps = work.write(maps, "maps")
-    rows = docs.join(maps.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("i")) & (F.xxhash64(text) == F.col("t")), "left")
-    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform(mentions(text), lambda m: F.element_at("map", m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    new = F.when(F.col("map").isNull(), text).otherwise(F.array_join(pieces, ""))
-    count = F.when(F.col("map").isNull(), F.lit(0)).otherwise(F.size(mentions(text)))
+    rows = docs.join(maps.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__i")) & (F.xxhash64(text) == F.col("__t")), "left")
+    pieces = F.zip_with(F.split(text, PATTERN, -1), F.transform(mentions(text), lambda m: F.element_at("__map", m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    new = F.when(F.col("__map").isNull(), text).otherwise(F.array_join(pieces, ""))
+    count = F.when(F.col("__map").isNull(), F.lit(0)).otherwise(F.size(mentions(text)))
     return rows.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns), count.alias("n_entities"))

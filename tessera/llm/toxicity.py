@@ -196,11 +196,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z + self.vote_weights @ np.array(votes, float), -40, 40))))
 
 
-def _scored(model: Model | None):
+def _scored(model: Model | None, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [model.score((t.as_py() or "").encode()) if model else 0.0 for t in batch.column(batch.num_columns - 1)]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], name])
 
     return run
 
@@ -235,4 +235,4 @@ def clean(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose score stays under the cut."""
     model = fit(docs, labels, cut)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.select("*", F.col("text").alias("__scored")).mapInArrow(_scored(model), f"{kinds}, score double").where(F.col("score") < cut).select(*[f"`{c}`" for c in docs.columns])
+    return docs.select("*", F.col("text").alias("__scored")).mapInArrow(_scored(model, "__score"), f"{kinds}, __score double").where(F.col("__score") < cut).select(*[f"`{c}`" for c in docs.columns])
