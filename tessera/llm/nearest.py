@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Workspace
 
-TREES, BITS, BLOCK = 48, 64, 16_384
+#: A string and the number of its tree fill 64 bits.
+TREES, BITS, BLOCK = 48, 56, 16_384
 #: Queries that go to the executors at once.
 BATCH_BYTES = 16 << 20
 
@@ -34,12 +35,12 @@ def directions(width: int) -> np.ndarray:
 
 
 def strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """Hash strings, trees by vectors, as integers whose order is that of the strings."""
-    weights = np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64)
-    out = np.zeros((TREES, len(unit)), np.uint64)
-    for t in range(TREES):
-        out[t] = ((unit @ planes[t * BITS : (t + 1) * BITS].T) > 0) @ weights
-    return out
+    """Hash strings, vectors by trees, as integers: the tree's number before the string, so that their order is that of the strings of each tree."""
+    bits = (unit.astype(np.float32) @ planes.T.astype(np.float32) > 0).reshape(len(unit), TREES, BITS)
+    raw = np.zeros((len(unit), TREES, 8), np.uint8)
+    raw[:, :, 0] = np.arange(TREES, dtype=np.uint8)
+    raw[:, :, 1:] = np.packbits(bits, axis=2)
+    return raw.reshape(-1).view(">u8").astype(np.uint64).reshape(len(unit), TREES)
 
 
 class Forest:
@@ -47,51 +48,51 @@ class Forest:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
-        self.unit = self.vectors / self.norms[:, None]
+        self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
         codes = strings(self.unit, planes)
-        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(codes, self.order.astype(np.int64), 1)
+        order = np.argsort(codes, axis=None, kind="stable")  # tree after tree, each in the order of its strings
+        self.sorted, self.rows = codes.ravel()[order], (order // TREES).astype(np.int32)
 
     def nearest(self, own: int, vector: np.ndarray, codes: np.ndarray, k: int, miss: float) -> list[tuple[float, int]]:
         """The k nearest found to a query (its id is ``own``, which isn't its neighbour), best first: (score, id)."""
         n = len(self.ids)
         norm = np.sqrt((vector * vector).sum())
-        unit = vector / norm
-        scores = np.full(n, -np.inf)
+        unit = (vector / norm).astype(np.float32)
+        scores = np.full(n, -np.inf, np.float32)
         seen = self.ids == own
-        for bits in self._depths(codes):
+        kth, had = -np.inf, -1
+        for bits in range(self._longest(codes), -1, -1):
+            new = None
             if bits:
-                low = codes >> np.uint64(BITS - bits) << np.uint64(BITS - bits)
-                high = low | np.uint64((1 << (BITS - bits)) - 1)
-                new = np.unique(np.concatenate([o[np.searchsorted(s, a) : np.searchsorted(s, b, "right")] for s, o, a, b in zip(self.sorted, self.order, low, high, strict=True)]))
+                rest = np.uint64((1 << (BITS - bits)) - 1)
+                low, high = np.searchsorted(self.sorted, codes & ~rest), np.searchsorted(self.sorted, codes | rest, "right")
+                if (held := int((high - low).sum())) != had:
+                    had = held
+                    new = np.zeros(n, bool)
+                    for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                        new[self.rows[a:b]] = True
+                    new = np.flatnonzero(new & ~seen)
             else:
-                new = np.arange(n)
-            new = new[~seen[new]]
-            if len(new):
+                new = np.flatnonzero(~seen)
+            if new is not None and len(new):
                 seen[new] = True
                 scores[new] = self.unit[new] @ unit
-            if bits == 0:
-                break
-            kth = np.partition(scores, -k)[-k] if n > k else -np.inf
+                kth = np.partition(scores, -k)[-k] if n > k else -np.inf
             if kth > -np.inf:
-                agree = 1 - np.arccos(min(1.0, kth)) / np.pi
+                agree = 1 - np.arccos(min(1.0, float(kth))) / np.pi
                 if (1 - agree**bits) ** TREES <= miss:
                     break
-        kth = np.partition(scores, -k)[-k] if n > k else -np.inf
-        best = np.flatnonzero(scores >= max(kth - 1e-9, -2))
+        # scores so far are of single precision: all that may be among the nearest are measured again
+        best = np.flatnonzero(scores >= max(float(kth) - 1e-5, -2))
         exact = (self.vectors[best] * vector).sum(1) / (self.norms[best] * norm)
         top = np.lexsort((self.ids[best], -exact))[:k]
         return [(float(exact[i]), int(self.ids[best[i]])) for i in top]
 
-    def _depths(self, codes: np.ndarray) -> Iterator[int]:
-        """From the longest prefix that the query shares with any string of any tree, up to the root."""
-        longest = 0
-        for s, c in zip(self.sorted, codes, strict=True):
-            at = int(np.searchsorted(s, c))
-            for j in (at - 1, at, at + 1):
-                if 0 <= j < len(s):
-                    longest = max(longest, BITS - int(s[j] ^ c).bit_length())
-        yield from range(longest, -1, -1)
+    def _longest(self, codes: np.ndarray) -> int:
+        """The longest prefix that the query shares with any string of any tree."""
+        at = np.searchsorted(self.sorted, codes)
+        apart = np.minimum(*(self.sorted[np.clip(at + j, 0, len(self.sorted) - 1)] ^ codes for j in (-1, 0)))
+        return max(0, BITS - int(apart.min()).bit_length())
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,30 +140,35 @@ def _searched(queries: tuple[np.ndarray, np.ndarray], width: int, k: int, miss:
         for batch in batches:
             for ids, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 forest = Forest(np.frombuffer(ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, width), planes)
-                out = [(int(q), i, s) for j, q in enumerate(own) for s, i in forest.nearest(int(q), vectors[j], codes[:, j], k, miss)]
+                out = [(int(q), i, s) for j, q in enumerate(own) for s, i in forest.nearest(int(q), vectors[j], codes[j], k, miss)]
                 yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, width: int, k: int = 5, miss: float = 0.03, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, width: int, k: int = 5, miss: float = 0.06, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``vectors`` nearest by cosine to each row of ``queries``, other than its own id: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     work = Workspace(spark, "nearest")
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
     # rows are dealt by id, so that near vectors are spread over blocks
-    index = work.write(pick(vectors).repartition("id").mapInArrow(_blocks(width), "ids binary, vectors binary"), "index")
-    asked = work.write(pick(queries).mapInArrow(_blocks(width), "ids binary, vectors binary"), "queries")
-    each = max(1, BATCH_BYTES // (8 * width * BLOCK))  # blocks of queries in a batch
+    many = max(1, -(-vectors.count() // BLOCK))
+    index = work.write(pick(vectors).repartition(many, "id").mapInArrow(_blocks(width), "ids binary, vectors binary"), "index").repartition(many)
     # the queries come to the driver batch by batch, never as a whole
-    asked = work.write(asked.select(F.monotonically_increasing_id().alias("k"), "ids", "vectors"), "numbered")
-    order = [r["k"] for r in asked.select("k").orderBy("k").toLocalIterator()]
+    asked = work.write(pick(queries).mapInArrow(_blocks(width), "ids binary, vectors binary").select(F.monotonically_increasing_id().alias("k"), "ids", "vectors"), "queries")
+    batches, size = [[]], 0
+    for r in asked.select("k", F.length("vectors").alias("n")).orderBy("k").toLocalIterator():
+        if batches[-1] and size + r["n"] > BATCH_BYTES:
+            batches.append([])
+            size = 0
+        batches[-1].append(r["k"])
+        size += r["n"]
     found = None
-    for at in range(0, len(order), each):
-        rows = asked.where(F.col("k").between(order[at], order[min(at + each, len(order)) - 1])).collect()
+    for keys in batches if batches[0] else []:
+        rows = asked.where(F.col("k").between(keys[0], keys[-1])).collect()
         batch = (np.concatenate([np.frombuffer(r["ids"], np.int64) for r in rows]), np.concatenate([np.frombuffer(r["vectors"], np.float64).reshape(-1, width) for r in rows]))
-        part = index.repartition("ids").mapInArrow(_searched(batch, width, k, miss), "query_id long, vec_id long, score double")
-        if at + each < len(order):
+        part = index.mapInArrow(_searched(batch, width, k, miss), "query_id long, vec_id long, score double")
+        if len(batches) > 1:
             part = work.write(part, "found")
         found = part if found is None else found.union(part)
     if found is None:
