@@ -7,7 +7,7 @@ for ``e = 1`` are all rare, each is a signature by itself. Else the prefix is ex
 that a shared rare token or a shared pair within one class is certain, and pairs of a class are signatures. The classes come
 from a sketch of counts over all documents; they bear on speed only, never on the result.
 
-Large groups of near copies are joined first, by stars around the leader of a min-hash band; every link is verified. After
+Large groups of near copies are joined first, by stars around the leaders of min-hash bands; every link is verified. After
 that, only nodes of different components that share a signature are verified, so a group of any size costs its rows, not its
 pairs. Links inside a component change nothing and are not looked for.
 
@@ -35,13 +35,17 @@ from .components import components
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 SKETCH_BITS = 20
 HASHES, BAND = 24, 2
-SMALL_BINS = 1024
+SMALL_BINS, WIDE_BINS = 1024, 4096
+#: From this size on, sets have an odd sketch of WIDE_BINS ranges too; the small one says little of larger sets.
+WIDE_FROM = 1000
 #: Set sizes (from, to) of a family of combinations, and its number of frequent classes. Families overlap by the size ratio
 #: that a link allows; sets of up to SMALL tokens are also indexed by single tokens.
 FAMILIES = [(9, 200, 8), (170, 2000, 32), (1700, 30_000, 256), (25_500, 1 << 62, 4096)]
 SMALL = 12
 #: Nodes whose ids may be broadcast to fetch their texts; beyond it, they are shuffled.
 BROADCAST_NODES = 400_000
+#: Signatures of several components that may be broadcast to find their rows again; beyond it, all rows are shuffled once more.
+BROADCAST_SIGNATURES = 1_000_000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -79,38 +83,41 @@ def nodes_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-SCANNED = "doc_id long, node long, n long, sketch array<long>, small array<long>, bins binary, counts binary"
+SCANNED = "doc_id long, node long, n long, sketch array<long>, small array<long>, wide array<long>, bins binary, counts binary"
 
 
-def bins_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """For each set, which hash ranges hold a token, as bits: a token whose range the other set lacks isn't shared.
+def bins_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None], list[bytes]]:
+    """For each set, which hash ranges hold an odd number of its tokens, as bits (an odd sketch).
 
-    Of SMALL_BINS ranges, 64 to an integer; and of at least two ranges for each token, a power of two. Bits of the longer of
-    two folded in halves are those of the shorter.
+    Where two sets disagree, a token of only one of them lies in the range. Of SMALL_BINS and, for large sets, of WIDE_BINS
+    ranges, 64 to an integer; and of at least two ranges for each token, a power of two. Halves of the longer of two, added
+    bit by bit, are those of the shorter.
     """
-    small, large, at = np.zeros((len(sizes), SMALL_BINS // 64), np.int64), [], 0
+    small, wide, large, at = np.zeros((len(sizes), SMALL_BINS // 64), np.int64), [], [], 0
+    folded = lambda held, size: np.packbits(np.bitwise_xor.reduce(held.reshape(-1, size), axis=0)).view(np.int64)
     for k, n in enumerate(sizes.tolist()):
-        held = np.zeros(max(SMALL_BINS, 1 << (2 * n - 1).bit_length() if n else 0), np.uint8)
-        held[((h[at : at + n] >> np.uint64(8)) & np.uint64(len(held) - 1)).astype(np.int64)] = 1
+        bins = max(WIDE_BINS if n >= WIDE_FROM else SMALL_BINS, 1 << (2 * n - 1).bit_length() if n else 0)
+        held = np.bincount(((h[at : at + n] >> np.uint64(8)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1
         large.append(np.packbits(held).tobytes())
-        small[k] = np.packbits(held.reshape(-1, SMALL_BINS).max(0)).view(np.int64)
+        small[k] = folded(held, SMALL_BINS)
+        wide.append(folded(held, WIDE_BINS) if n >= WIDE_FROM else None)
         at += n
-    return small, large
+    return small, wide, large
 
 
-def most_shared(n: int, a: bytes, m: int, b: bytes) -> int:
-    """An upper bound of the tokens that two sets share."""
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the tokens that only one of two sets holds."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     size = min(len(x), len(y))
-    x, y = (np.bitwise_or.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
-    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    x, y = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) if len(z) > size else z for z in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, m, b = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
-            keep = [(100 + percent) * most_shared(*x) >= percent * (x[0] + x[2]) for x in zip(n, a, m, b, strict=True)]
+            keep = [(100 + percent) * least_apart(y, z) <= (100 - percent) * (x + w) for x, y, w, z in zip(n, a, m, b, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -123,8 +130,8 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        names = ["doc_id", "node", "n", "sketch", "small", "bins", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["doc_id", "node", "n", "sketch", "small", "wide", "bins", "counts"]
         for batch in batches:
             for a, b, texts in chunks(batch, 1):
                 h, sizes = shingles(texts, width)
@@ -136,9 +143,9 @@ def _scan(width: int):
                         sketch[some, k] = np.minimum.reduceat(h * seed, begin[some])
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 counts += np.bincount((h[np.repeat(fresh, sizes)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                small, bins = bins_of(h, sizes)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
-        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, -1, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
+                small, wide, bins = bins_of(h, sizes)
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(wide, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, -1, None, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
 
     return run
 
@@ -257,28 +264,55 @@ class Join:
         self.work = Workspace(docs.sparkSession, "jaccard-join")
         self.scanned = self.work.write(docs.mapInArrow(_scan(width), SCANNED), "scanned")
         sets = self.scanned.where("n > 0")
-        # rows of a node agree in n, sketch and bins, so any will do
-        self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("bins").alias("bins")), "nodes")
+        # rows of a node agree in n and sketches, so any will do
+        self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("wide").alias("wide"), F.max("bins").alias("bins")), "nodes")
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None
 
     def similar_sizes(self):
         return (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
 
-    def leaders(self) -> DataFrame:
-        """(u, v, bands): nodes with the leader of a min-hash band they share, where the sizes allow a link."""
-        bands = self.nodes.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), *(F.col("sketch")[k + i] for i in range(BAND))) for k in range(0, HASHES, BAND)))).alias("k", "band")).drop("k")
-        leader = bands.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", F.col("first.node").alias("v"), F.col("first.n").alias("m"))
-        pairs = bands.withColumnRenamed("node", "u").join(leader, "band").where(self.similar_sizes())
-        return self.work.write(pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("bands")), "leaders")
+    def apart(self, words: int = SMALL_BINS // 64):
+        """A lower bound of the tokens in one of ``u`` and ``v`` only, from the first ``words`` integers of their odd sketches."""
+        return sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range(words)), F.lit(0))
+
+    def may_link(self, apart):
+        return (100 + self.percent) * apart <= (100 - self.percent) * (F.col("n") + F.col("m"))
+
+    def may_link_wide(self):
+        """By the wide odd sketches, where both sets have one; for pairs that the small ones leave."""
+        apart = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+        return F.col("wu").isNull() | F.col("wv").isNull() | self.may_link(apart)
 
-    def component(self, pairs: DataFrame) -> DataFrame:
-        """Only pairs of nodes in different components."""
+    def bands(self) -> DataFrame:
+        """(node, n, band, shared): the min-hash bands that several nodes share; ``shared``: over the bands of a node, how many have each."""
+        bands = self.nodes.select("node", "n", F.posexplode(F.array(*(F.xxhash64(F.lit(k), *(F.col("sketch")[k + i] for i in range(BAND))) for k in range(0, HASHES, BAND)))).alias("k", "band")).drop("k")
+        sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        bands = self.work.write(bands.join(sizes, "band"), "bands")
+        out = self.work.write(bands.join(bands.groupBy("node").agg(F.sum("c").alias("shared")), "node").drop("c"), "bands")
+        self.work.drop(bands)
+        return out
+
+    def leaders(self, bands: DataFrame, picks: int) -> DataFrame:
+        """(u, v, apart): nodes with leaders of their bands from other components, where sizes and odd sketches allow a link.
+
+        A band is led by the node that shares its bands with the most others, the least changed of a group of near copies,
+        and by ``picks`` more that a hash picks. Nodes in one component with the first need no other.
+        """
         if self.joined is None:
-            return pairs
-        side = lambda k: self.joined.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-        out = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
-        return out.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).drop("cu", "cv")
+            bands = bands.withColumn("component", F.col("node"))
+        else:
+            bands = bands.join(self.joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = bands.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
+            bands = bands.join(mixed, "band")
+        first = F.max(F.struct("shared", "node", "n", "component"))
+        others = (F.min(F.struct(F.xxhash64("node", "band", F.lit(k)).alias("shared"), "node", "n", "component")) for k in range(picks))
+        led = bands.groupBy("band").agg(first["component"].alias("main"), F.array_distinct(F.array(*(F.struct(x["node"].alias("v"), x["n"].alias("m"), x["component"].alias("cv")) for x in (first, *others)))).alias("led"))
+        rest = bands.select("band", F.col("node").alias("u"), "n", F.col("component").alias("cu"))
+        pairs = rest.join(led, "band").where("cu != main").select("u", "n", "cu", F.inline("led")).where((F.col("cu") != F.col("cv")) & self.similar_sizes())
+        small = lambda k: self.nodes.select(F.col("node").alias(k), F.col("small").alias(f"s{k}"))
+        pairs = pairs.select("u", "n", "v", "m").distinct().join(small("u"), "u").join(small("v"), "v").withColumn("apart", self.apart())
+        return self.work.write(pairs.where(self.may_link(F.col("apart"))).select("u", "v", "apart"), "leaders")
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds those of the pairs (u, v) that link, and joins the components anew."""
@@ -308,23 +342,27 @@ class Join:
             signed = signed.withColumn("component", F.lit(None).cast("long"))
         signed = self.work.write(signed.withColumn("component", F.coalesce("component", "node")), "signed")
         rows = signed.select(F.explode("signatures").alias("signature"), "node", "n", "component")
-        live = rows.groupBy("signature").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("signature")
-        rows = rows.join(live, "signature")
-        rows = self.work.write(rows.join(self.nodes.select("node", "small"), "node"), "live")
+        # signatures of the same nodes give the same pairs: one of them is enough. Sums of the two halves of
+        # its digests and the count name a set of nodes.
+        parts = {"least": F.min("component"), "most": F.max("component"), "c": F.count(F.lit(1)), "low": F.sum(F.col("node").bitwiseAND(0xFFFFFFFF)), "high": F.sum(F.shiftrightunsigned("node", 32))}
+        live = rows.groupBy("signature").agg(*(x.alias(k) for k, x in parts.items())).where("least < most").groupBy(*parts).agg(F.min("signature").alias("signature")).select("signature")
+        live = self.work.write(live, "shared")
+        few = live.count() <= BROADCAST_SIGNATURES
+        rows = rows.join(F.broadcast(live) if few else live, "signature").distinct()
+        rows = self.work.write(rows.join(self.nodes.select("node", "small", "wide"), "node"), "live")
         self.work.drop(signed)
-        left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}")) for k, n in (("u", "n"), ("v", "m")))
-        apart = lambda a, b: sum((F.bit_count(F.col(a)[k].bitwiseAND(F.bitwise_not(F.col(b)[k]))) for k in range(SMALL_BINS // 64)), F.lit(0))
-        shared = F.least(F.col("n") - apart("su", "sv"), F.col("m") - apart("sv", "su"))  # at most; inside the join, so that a large group leaves few pairs
-        fits = (F.col("cu") < F.col("cv")) & self.similar_sizes() & ((100 + self.percent) * shared >= self.percent * (F.col("n") + F.col("m")))
+        left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}"), F.col("wide").alias(f"w{k}")) for k, n in (("u", "n"), ("v", "m")))
+        # the bounds are inside the join, so that a large group leaves few pairs; a few of the ranges settle most of them
+        fits = (F.col("cu") < F.col("cv")) & self.similar_sizes() & self.may_link(self.apart(4)) & self.may_link(self.apart()) & self.may_link_wide()
         left, right = left.alias("l"), right.alias("r")
         return left.join(right, (F.col("l.signature") == F.col("r.signature")) & fits).select("u", "v")
 
     def run(self) -> DataFrame:
-        near = self.leaders()
-        best = near.groupBy("u").agg(F.max(F.struct("bands", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-        self.verify(best)
-        self.verify(self.component(near))
-        self.work.drop(near)
+        bands = self.bands()
+        near = self.leaders(bands, 2)
+        self.verify(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v")))
+        self.verify(self.leaders(bands, 6))
+        self.work.drop(bands)
         self.verify(self.candidates())
         nodes = self.nodes.select("node", "doc")
         if self.joined is None:

@@ -8,7 +8,7 @@ import pytest
 from cases import awkward, data, empty
 from tessera.llm import queries
 from tessera.llm.common import mix
-from tessera.llm.jaccard_join import SKETCH_BITS, near_copies, one_of_each, signatures
+from tessera.llm.jaccard_join import SKETCH_BITS, bins_of, least_apart, near_copies, one_of_each, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -105,3 +105,17 @@ def test_linking_sets_share_a_signature(seed):
         if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
             x, y = signatures(np.concatenate([np.sort(a), np.sort(b)]), np.array([len(a), len(b)]), frequent, 85)
             assert len(np.intersect1d(x, y))
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_odd_sketches_never_exceed_the_difference(seed):
+    rng = np.random.default_rng(seed)
+    tokens = np.unique(mix(rng.integers(1, 1 << 62, 9000).astype(np.uint64)))
+    sets = [np.sort(rng.choice(tokens[: rng.integers(500, len(tokens))], rng.integers(1, 400), replace=False)) for _ in range(6)] + [tokens, tokens[7:], tokens[:1200]]
+    small, wide, large = bins_of(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            apart = len(np.setxor1d(a, b))
+            if wide[i] is not None and wide[j] is not None:
+                assert int(np.bitwise_count((wide[i] ^ wide[j]).view(np.uint64)).sum()) <= apart
+            assert int(np.bitwise_count((small[i] ^ small[j]).view(np.uint64)).sum()) <= least_apart(large[i], large[j]) <= apart
