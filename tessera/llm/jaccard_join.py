@@ -266,6 +266,7 @@ class Join:
         sets = self.scanned.where("n > 0")
         # rows of a node agree in n and sketches, so any will do
         self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("wide").alias("wide"), F.max("bins").alias("bins")), "nodes")
+        self.work.free()
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None
 
@@ -291,6 +292,7 @@ class Join:
         bands = self.work.write(bands.join(sizes, "band"), "bands")
         out = self.work.write(bands.join(bands.groupBy("node").agg(F.sum("c").alias("shared")), "node").drop("c"), "bands")
         self.work.drop(bands)
+        self.work.free()
         return out
 
     def leaders(self, bands: DataFrame, picks: int) -> DataFrame:
@@ -341,16 +343,19 @@ class Join:
         else:
             signed = signed.withColumn("component", F.lit(None).cast("long"))
         signed = self.work.write(signed.withColumn("component", F.coalesce("component", "node")), "signed")
+        self.work.free()
         rows = signed.select(F.explode("signatures").alias("signature"), "node", "n", "component")
         # signatures of the same nodes give the same pairs: one of them is enough. Sums of the two halves of
         # its digests and the count name a set of nodes.
         parts = {"least": F.min("component"), "most": F.max("component"), "c": F.count(F.lit(1)), "low": F.sum(F.col("node").bitwiseAND(0xFFFFFFFF)), "high": F.sum(F.shiftrightunsigned("node", 32))}
         live = rows.groupBy("signature").agg(*(x.alias(k) for k, x in parts.items())).where("least < most").groupBy(*parts).agg(F.min("signature").alias("signature")).select("signature")
         live = self.work.write(live, "shared")
+        self.work.free()  # all signatures were shuffled for it; their files must not stand beside those of the join
         few = live.count() <= BROADCAST_SIGNATURES
         rows = rows.join(F.broadcast(live) if few else live, "signature").distinct()
         rows = self.work.write(rows.join(self.nodes.select("node", "small", "wide"), "node"), "live")
         self.work.drop(signed)
+        self.work.free()
         left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}"), F.col("wide").alias(f"w{k}")) for k, n in (("u", "n"), ("v", "m")))
         # the bounds are inside the join, so that a large group leaves few pairs; a few of the ranges settle most of them
         fits = (F.col("cu") < F.col("cv")) & self.similar_sizes() & self.may_link(self.apart(4)) & self.may_link(self.apart()) & self.may_link_wide()
