@@ -123,6 +123,19 @@ def test_nearest_of_awkward_vectors(spark):
     assert nearest(df.limit(0), df.limit(0), 2).count() == 0
 
 
+def test_nearest_recall_without_near_neighbours(spark):
+    made = np.random.default_rng(3).standard_normal((10_000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(made.tolist())], "vec_id long, embedding array<double>")
+    unit = made / np.sqrt((made * made).sum(1))[:, None]
+    got = defaultdict(set)
+    for r in nearest(df, df.where("vec_id % 50 = 0"), 64).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    scores = unit[::50] @ unit.T
+    scores[np.arange(200), np.arange(0, 10_000, 50)] = -2
+    expected = np.argsort(-scores, axis=1)[:, :5]
+    assert sum(len(got[50 * q] & set(e)) for q, e in enumerate(expected.tolist())) >= 0.985 * expected.size
+
+
 # --- sharding ---
 def check_shards(result, docs):
     slots, groups, sizes = defaultdict(list), defaultdict(set), [0] * 8
