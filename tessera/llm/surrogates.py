@@ -5,7 +5,9 @@ reduced to a canonical form (letter case, separators and titles do not count), s
 same surrogate, poured into the format of each mention. Surrogates are derived from a keyed digest: digits for digits, letters
 of the same script and case, valid check digits where the original's were valid, names of the title's gender. Mail goes to
 the reserved domain example.com (or .net, .org) and addresses to 10.0.0.0/8. A table of all distinct entities is checked: two
-never share a surrogate, and a surrogate is never another entity's real value; those that fail are drawn again.
+never share a surrogate, and a surrogate is never another entity's real value; those that fail are drawn again until none is
+left. Who still fails after ``rounds`` draws has too few free values of its form and gets a wider one: digits, letters or
+syllables more, one with each further draw; for addresses, a first number beyond 255, which no host has.
 
 Everything is DataFrame functions. Only mentions are exploded and joined; a mention that a third of all documents hold is
 joined by AQE's split. Texts move once, to meet the replacements of their document.
@@ -34,6 +36,9 @@ GIVEN = {
 SYLLABLES = {"latin": "ba bel cor dan dor fen gar hal kel lin mar nor pel ros tal ven".split(), "cyrillic": "ба вел гор дан дор зен кар лен мар нор пел рос сал тал фен хол".split()}
 SCRIPTS = [("cyrillic", r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхц"), ("greek", r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχ"), ("han", r"\p{IsHan}", "安百长东方高光海和江金林明南平青山水天文星云"), ("latin", r"[\p{L}&&[^A-Za-z]]", "áâäåçéèêëíîïñóôöúûü")]
 
+#: Places by which a surrogate may be wider than its entity; far fewer hold any number of entities.
+WIDEST = 40
+
 _TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
 PATTERN = "|".join([
     r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}+(?![0-9A-Za-z])",
@@ -117,27 +122,33 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.split(digits, ""), value), F.lit(0), lambda s, x: s + x), F.lit(10))
 
 
-def surrogate(k: Column, c: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form, itself canonical in form (digits, lower case)."""
+def surrogate(k: Column, c: Column, attempt: Column, key: str, extra: int = 0) -> Column:
+    """The surrogate of a canonical form, itself canonical in form (digits, lower case), and wider by ``extra`` places."""
     d = _digest(key, k, c, attempt.cast("string"))
+    more = lambda place: _letters(F.lit(place * extra), _digest(key, F.lit("wider"), d)) if extra else F.lit("")
     local, domain = F.substring_index(c, "@", 1), F.substring_index(c, "@", -1)
     end = F.regexp_extract(domain, r"\.(com|net|org)$", 1)
     hosts = F.regexp_extract(domain, r"^(?:.+(?=\.[^.]+\.[^.]+$)|[^.]+)", 0)
-    email = F.concat(_letters(local, d), F.lit("@"), _letters(hosts, _digest(key, F.lit("domain"), domain, attempt.cast("string"))), F.lit(".example."), F.when(end == "", "com").otherwise(end))
+    email = F.concat(_letters(local, d), more("a"), F.lit("@"), _letters(hosts, _digest(key, F.lit("domain"), domain, attempt.cast("string"))), F.lit(".example."), F.when(end == "", "com").otherwise(end))
     ip = F.concat_ws(".", F.lit("10"), *(_byte(d, F.lit(i)).cast("string") for i in (1, 2, 3)))
-    digits = _letters(c, d)
+    if extra:
+        two = lambda i: _byte(d, F.lit(i)) * 256 + _byte(d, F.lit(i + 1))
+        ip = F.concat_ws(".", (F.pmod(two(0), F.lit(744)) + 256).cast("string"), *(F.pmod(two(i), F.lit(1000)).cast("string") for i in (2, 4, 6)))
+    digits = F.concat(more("0"), _letters(c, d))
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
     valid = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     invalid = F.concat(body, F.pmod(11 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
     card = F.when(_luhn(c) == 0, valid).otherwise(invalid)
     # the country's code stays, and the exchange 555, which no subscriber has
     phone = F.when(c.rlike(r"^1?\d{3}555\d{4}$"), F.concat(F.regexp_extract(c, r"^(1?)\d{10}$", 1), _letters(F.regexp_extract(c, r"^1?(\d{3})555", 1), d), F.lit("555"), _letters(F.substr(c, F.length(c) - 3, F.lit(4)), _digest(key, d)))).otherwise(F.concat(F.substr(c, F.lit(1), F.lit(1)), _letters(F.substr(c, F.lit(2), F.length(c)), d)))
+    phone = F.concat(phone, more("0"))
     secret = F.when(c.rlike("^[0-9a-f]+$"), _letters(c, d, True)).otherwise(F.concat(F.regexp_extract(c, r"^[a-z]+[-_]", 0), _letters(F.regexp_replace(c, r"^[a-z]+[-_]", ""), d)))
-    iban = F.concat(F.substr(c, F.lit(1), F.lit(2)), _letters(F.substr(c, F.lit(3), F.length(c)), d))
-    return F.when(k == "email", email).when(k == "ip", ip).when(k == "card", card).when(k == "phone", phone).when(k == "secret", secret).when(k == "iban", iban).otherwise(_name(c, attempt, key))
+    secret = F.concat(secret, more("0"))
+    iban = F.concat(F.substr(c, F.lit(1), F.lit(2)), _letters(F.substr(c, F.lit(3), F.length(c)), d), more("0"))
+    return F.when(k == "email", email).when(k == "ip", ip).when(k == "card", card).when(k == "phone", phone).when(k == "secret", secret).when(k == "iban", iban).otherwise(_name(c, attempt, key, extra))
 
 
-def _name(c: Column, attempt: Column, key: str) -> Column:
+def _name(c: Column, attempt: Column, key: str, extra: int = 0) -> Column:
     """gender:given family; the family name depends on the family name alone, so that shorter mentions agree."""
     sex, name = F.substring_index(c, ":", 1), F.substring_index(c, ":", -1)
     words = F.split(name, "[ -]")
@@ -145,7 +156,7 @@ def _name(c: Column, attempt: Column, key: str) -> Column:
     first = _digest(key, F.lit("given"), words[0], attempt.cast("string"))
     cyrillic = name.rlike(r"\p{IsCyrillic}")
     pick = lambda of, d, i: F.element_at(F.array(*map(F.lit, of)), F.pmod(_byte(d, F.lit(i)), F.lit(len(of))) + 1)
-    last = lambda script: F.concat(*(pick(SYLLABLES[script], family, i) for i in range(4)))
+    last = lambda script: F.concat(*(pick(SYLLABLES[script], family, i) for i in range(4 + extra)))
     given = lambda script: F.when(sex == "f", pick(GIVEN["f", script], first, 0)).when(sex == "m", pick(GIVEN["m", script], first, 0)).otherwise(pick(GIVEN["n", script], first, 0))
     whole = lambda script: F.when(F.size(words) > 1, F.concat(F.lower(given(script)), F.lit(" "), last(script))).otherwise(last(script))
     return F.concat(sex, F.lit(":"), F.when(cyrillic, whole("cyrillic")).otherwise(whole("latin")))
@@ -157,6 +168,8 @@ def poured(m: Column, k: Column, s: Column) -> Column:
     places = F.split(m, "")
     # the n-th letter or digit of the mention becomes that of the surrogate, separators stay
     shown = F.array_join(F.transform(places, lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substr(s, F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), r"[^0-9A-Za-z]", "")), F.lit(1))).otherwise(c)), "")
+    # a wider surrogate has more of them than the mention, which ends with one
+    shown = F.concat(shown, F.substr(s, F.length(plain) + 1, F.length(s)))
     name = F.initcap(F.substring_index(s, ":", -1))
     person = F.concat(F.regexp_extract(m, TITLE, 0), F.when(m.rlike(r"\p{L}-\p{Lu}"), F.translate(name, " ", "-")).otherwise(name))
     upper = (m == F.upper(m)) & (plain != F.lower(plain))
@@ -166,19 +179,20 @@ def poured(m: Column, k: Column, s: Column) -> Column:
 def surrogate_table(entities: DataFrame, key: str, work: Workspace, rounds: int = 12) -> DataFrame:
     """(kind, canonical, surrogate) for distinct (kind, canonical), distinct and apart from all real values within a kind."""
     drawn = work.write(entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.lit(0), key)), "drawn")
-    for _ in range(rounds):
-        twice = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    for attempt in range(1, rounds + WIDEST + 1):
+        # who has its surrogate from an earlier draw keeps it, so that the rest only shrinks
+        twice = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical"))["canonical"].alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1")
         real = drawn.select("kind", F.col("canonical").alias("surrogate"))
         bad = drawn.join(twice, ["kind", "surrogate"]).where("canonical != keeper").select("kind", "canonical").union(drawn.join(real, ["kind", "surrogate"], "left_semi").select("kind", "canonical")).distinct()
         bad = work.write(bad.withColumn("bad", F.lit(1)), "bad")
         if bad.isEmpty():
-            break
-        again = F.col("attempt") + F.coalesce("bad", F.lit(0))
-        new = drawn.join(bad, ["kind", "canonical"], "left").select("kind", "canonical", again.alias("attempt"))
-        new = work.write(new.withColumn("surrogate", surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key)), "drawn")
+            return drawn.select("kind", "canonical", "surrogate")
+        again = surrogate(F.col("kind"), F.col("canonical"), F.lit(attempt), key, max(0, attempt - rounds))
+        pick = lambda new, old: F.when(F.col("bad").isNotNull(), new).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+        new = work.write(drawn.join(bad, ["kind", "canonical"], "left").select("kind", "canonical", pick(F.lit(attempt), "attempt"), pick(again, "surrogate")), "drawn")
         work.drop(drawn)
         drawn = new
-    return drawn.select("kind", "canonical", "surrogate")
+    raise RuntimeError("entities without a surrogate of their own are left")
 
 
 def replace(docs: DataFrame, key: str = "tessera", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -80,6 +80,28 @@ def test_surrogates_are_distinct_even_where_draws_collide(spark):
     assert len({r["surrogate"] for r in table}) == 3000 and not {r["surrogate"] for r in table} & {r["canonical"] for r in table}
 
 
+def test_surrogates_are_distinct_where_more_entities_than_forms(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {"latin": ["ba", "bel"], "cyrillic": ["ба", "вел"]})
+    letters = lambda n: "".join(chr(97 + n // 26**i % 26) for i in range(3))
+    rule = "sk" + "_" * 20
+    texts = [f"+1{n:03} a@b.{letters(n)} Mrs A{letters(n)} {rule}" for n in range(700)]
+    out = {r["doc_id"]: r["text"].split(" ") for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for at in (0, 1, 3):
+        new = {w[at] for w in out.values()}
+        assert len(new) == 700 and not new & {t.split(" ")[at] for t in texts}
+    assert all(re.fullmatch(r"\+1\d{3,8}", w[0]) and re.fullmatch(r"[a-z]+@[a-z]\.example\.com", w[1]) for w in out.values())
+    assert len({w[4] for w in out.values()}) == 1 and out[0][4] != rule and out[0][4].startswith(rule)
+
+
+@pytest.mark.parametrize("kind, real, shape", [("ip", "8.8.8.8", r"(25[6-9]|2[6-9]\d|[3-9]\d\d)(\.\d{1,3}){3}"), ("card", "4111111111111111", r"\d{18}"), ("iban", "DE44500105175407324931", r"DE\d{22}"), ("secret", "a" * 32, "[0-9a-f]{34}"), ("phone", "12125550147", r"1\d{3}555\d{6}")])
+def test_wider_surrogates_keep_their_kind(spark, kind, real, shape):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(surrogates.surrogate(F.lit(kind), F.lit(real), F.lit(13), "key", 2).alias("s")).first()
+    assert re.fullmatch(shape, row["s"])
+    assert kind != "card" or sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(row["s"])) % 10 == 0
+
+
 def test_surrogates_query_leaves_no_original(spark):
     got = {r["doc_id"]: r for r in queries.op2_surrogates(spark, SF).collect()}
     secret = re.compile(r"\S+@mail\d+\.example\.com|\d{16}|\(\d{3}\) 555-\d{4}|[0-9a-f]{40}|(?<![\d.])\d+\.\d+\.\d+\.\d+")
