@@ -83,7 +83,7 @@ def nodes_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-SCANNED = "doc_id long, node long, n long, sketch array<long>, small array<long>, wide array<long>, bins binary, counts binary"
+SCANNED = "doc_id long, key long, node long, n long, sketch array<long>, small array<long>, wide array<long>, bins binary, counts binary"
 
 
 def bins_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None], list[bytes]]:
@@ -130,8 +130,8 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 def _scan(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        names = ["doc_id", "node", "n", "sketch", "small", "wide", "bins", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["doc_id", "key", "node", "n", "sketch", "small", "wide", "bins", "counts"]
         for batch in batches:
             for a, b, texts in chunks(batch, 1):
                 h, sizes = shingles(texts, width)
@@ -144,8 +144,8 @@ def _scan(width: int):
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
                 counts += np.bincount((h[np.repeat(fresh, sizes)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 small, wide, bins = bins_of(h, sizes)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(wide, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
-        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, -1, None, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
+                yield pa.record_batch([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(wide, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, None, -1, None, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
 
     return run
 
@@ -236,10 +236,12 @@ def _verified(width: int, percent: int):
 
         def of(node: int, text: bytes) -> np.ndarray | None:
             if node not in last:
+                h, sizes = shingles([text], width)
+                if int(nodes_of(h, sizes)[0].view(np.int64)[0]) != node:
+                    return None  # another text under the same id and hash, which says nothing of the node
                 if len(last) > 64:
                     last.clear()
-                h, sizes = shingles([text], width)
-                last[node] = h if int(nodes_of(h, sizes)[0].view(np.int64)[0]) == node else None  # another text under the same id
+                last[node] = h
             return last[node]
 
         for batch in batches:
@@ -256,16 +258,25 @@ def _verified(width: int, percent: int):
     return run
 
 
+def text_key():
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def least_row(doc: str):
+    """(doc, key) of the row of the smallest id, which is null only if all are."""
+    return F.min(F.struct(F.col(doc).isNull().alias("nameless"), F.col(doc).alias("doc"), "key"))
+
+
 class Join:
-    """One run of the join over ``docs`` (doc_id, text)."""
+    """One run of the join over ``docs`` (doc_id, text). A row is known by its id, which may be null or repeated, and ``key``, a hash of its text."""
 
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
-        self.docs, self.width, self.percent = docs, width, percent
+        self.docs, self.width, self.percent = docs.withColumn("key", text_key()), width, percent
         self.work = Workspace(docs.sparkSession, "jaccard-join")
-        self.scanned = self.work.write(docs.mapInArrow(_scan(width), SCANNED), "scanned")
+        self.scanned = self.work.write(self.docs.select("doc_id", "text", "key").mapInArrow(_scan(width), SCANNED), "scanned")
         sets = self.scanned.where("n > 0")
-        # rows of a node agree in n and sketches, so any will do
-        self.nodes = self.work.write(sets.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("wide").alias("wide"), F.max("bins").alias("bins")), "nodes")
+        # rows of a node agree in n and sketches, so any will do; its text is that of one row
+        self.nodes = self.work.write(sets.groupBy("node").agg(least_row("doc_id").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("wide").alias("wide"), F.max("bins").alias("bins")).select("node", "row.doc", "row.key", "n", "sketch", "small", "wide", "bins"), "nodes")
         self.work.free()
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None
@@ -324,9 +335,11 @@ class Join:
         if pairs.isEmpty():
             return
         ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = self.work.write(ids.join(self.nodes.select("node", "doc"), "node"), "wanted")
+        wanted = self.work.write(ids.join(self.nodes.select("node", "doc", "key"), "node"), "wanted")
         few = wanted.count() <= BROADCAST_NODES
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, self.docs["doc_id"].eqNullSafe(wanted["doc"])).select("node", "text").where(F.col("text").isNotNull())
+        same = self.docs["doc_id"].eqNullSafe(wanted["doc"]) & (self.docs["key"] == wanted["key"])
+        texts = self.docs.join(F.broadcast(wanted) if few else wanted, same).select("node", "text").where(F.col("text").isNotNull())
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows, and rows without ids, of the same text
         held = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         new = self.work.write(held.select("u", "v", "a", "b").mapInArrow(_verified(self.width, self.percent), "u long, v long"), "links")
         self.links = new if self.links is None else self.links.union(new)
@@ -363,36 +376,45 @@ class Join:
         return left.join(right, (F.col("l.signature") == F.col("r.signature")) & fits).select("u", "v")
 
     def run(self) -> DataFrame:
+        """Every row's doc_id, key, n_shingles, component_id, and whether it is the first of its component."""
         bands = self.bands()
         near = self.leaders(bands, 2)
         self.verify(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v")))
         self.verify(self.leaders(bands, 6))
         self.work.drop(bands)
         self.verify(self.candidates())
-        nodes = self.nodes.select("node", "doc")
+        nodes = self.nodes.select("node", "doc", "key")
         if self.joined is None:
-            named = nodes.withColumnRenamed("doc", "component_id")
+            named = nodes.select("node", F.struct("doc", "key").alias("row"))
         else:
             nodes = nodes.join(self.joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            named = nodes.select("node", "component").join(nodes.groupBy("component").agg(F.min("doc").alias("component_id")), "component").select("node", "component_id")
-        rows = self.scanned.where("n >= 0").select("doc_id", "node", F.col("n").alias("n_shingles"))
-        out = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-        return out.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+            named = nodes.select("node", "component").join(nodes.groupBy("component").agg(least_row("doc").alias("row")), "component").select("node", "row")
+        rows = self.scanned.where("n >= 0").select("doc_id", "key", "node", F.col("n").alias("n_shingles"))
+        first = F.col("doc_id").eqNullSafe(F.col("row.doc")) & (F.col("key") == F.col("row.key"))
+        out = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "key", "n_shingles", F.col("row.doc").alias("component_id"), first.alias("first"))
+        return out.union(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
 
 
-def near_copies(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """Every row's doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links)."""
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if not 85 <= percent <= 100:
         raise ValueError("the families of combinations hold for thresholds of 85 percent or more")
     return Join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), width, percent).run()
 
 
+def near_copies(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """Every row's doc_id, n_shingles (size of its set), component_id (smallest doc_id reachable by links)."""
+    return _joined(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that name their component: of each group of near copies, the one of the smallest id; repeated rows once."""
-    found = near_copies(docs, width, percent)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept")).agg(F.count(F.lit(1)).alias("times"))
+    """The rows of ``docs`` that name their component: of each group of near copies, one of the smallest id; repeated rows once.
+
+    A row without an id is kept only if all of its group are without; of several texts under one id, each is judged alone.
+    """
+    keep = _joined(docs, width, percent).where("first").groupBy(F.col("doc_id").alias("kept"), "key").agg(F.count(F.lit(1)).alias("times"))
     keep = Workspace(docs.sparkSession, "one-of-each").write(keep, "kept")
-    once, more = (docs.join(keep.where(c).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["kept"])).select(docs["*"]) for c in ("times = 1 and kept is not null", "times > 1 or kept is null"))
-    if keep.where("times > 1 or kept is null").isEmpty():
+    same = docs["doc_id"].eqNullSafe(keep["kept"]) & (text_key() == keep["key"])
+    once, more = (docs.join(keep.where(c).hint("shuffle_hash"), same).select(docs["*"]) for c in ("times = 1", "times > 1"))
+    if keep.where("times > 1").isEmpty():
         return once
     return once.union(more.dropDuplicates(["doc_id", "text"]))

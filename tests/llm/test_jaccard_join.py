@@ -67,6 +67,27 @@ def test_awkward_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 6, 8, 8, 9, 10, None], key=repr)
 
 
+def test_null_and_repeated_ids_against_all_pairs(spark):
+    rng = random.Random(5)
+    docs = [(r["doc_id"], r["text"]) for r in awkward(spark).collect()]
+    for k in range(12):
+        text = [f"t{rng.randrange(9000)}" for _ in range(90)]
+        # near copies with and without ids, one under an id of other texts; without any id; a repeated row without an id
+        docs += [(100 + k, " ".join(text)), (None, " ".join([*text, "more"])), (8, " ".join([*text, "and", "more"])), (None, " ".join([*text[:45], "x", *reversed(text)]))]
+        docs += [(None, " ".join([*reversed(text), "less"])), (None, " ".join([*reversed(text), "or"]))] + [(None, " ".join([*reversed(text), "or"]))]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute(docs)
+    assert rows(near_copies(df)) == expected
+    assert sum(d is None and c is not None for d, _, c in expected) == 12
+    kept = [tuple(r) for r in one_of_each(df).collect()]
+    assert len(kept) == len(set(kept))
+    # all that is kept stands alone, and all that is not has a near copy in it
+    assert len({c for d, n, c in brute([(i, t) for i, (_, t) in enumerate(kept)]) if n}) == sum(n > 0 for _, n, _ in brute(kept))
+    ids = brute([(i, t) for i, (_, t) in enumerate(docs)])
+    assert len({c for _, n, c in ids if n}) == sum(n > 0 for _, n, _ in brute(kept))
+
+
 def chains(seed):
     """Near copies in chains around shared boilerplate that most documents hold."""
     rng = random.Random(seed)
