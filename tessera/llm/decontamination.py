@@ -7,7 +7,7 @@ scan hashes every word window of a text, looks the hashes up, and verifies each
 Words are maximal runs of digits, ASCII letters (lower-cased) and all characters beyond ASCII.
 
 Defined results: null and empty texts have no words and are never hit; items without words have no windows; equal items all
-count; repeated rows each appear; other columns are kept as they are; an empty benchmark hits nothing.
+count; windows of items without an id are hits like all others, but only ids count in n_items and items_sha256; repeated rows each appear; other columns are kept as they are; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def windows(items: list[tuple[str, bytes]], width: int) -> dict[int, dict[bytes, list[str]]]:
-    """By number of words: normalised window to the ids of the items that hold it."""
+def windows(items: list[tuple[str | None, bytes]], width: int) -> dict[int, dict[bytes, list[str]]]:
+    """By number of words: normalised window to the ids of the items that hold it; none if no such item has an id."""
     out: dict[int, dict[bytes, list[str]]] = {}
     for key, text in items:
         w = words(text)
         n = min(width, len(w))
         for i in range(len(w) - n + 1 if n else 0):
             ids = out.setdefault(n, {}).setdefault(b" ".join(w[i : i + n]), [])
-            if not ids or ids[-1] != key:
+            if key is not None and (not ids or ids[-1] != key):
                 ids.append(key)
     return out
 
@@ -81,7 +81,7 @@ class Scanner:
             k = np.searchsorted(hashes, h[likely])
             likely = likely[hashes[np.minimum(k, len(hashes) - 1)] == h[likely]]
             for i in at[likely].tolist():
-                if ids := of.get(joined[starts[i] : ends[i + n - 1]]):
+                if (ids := of.get(joined[starts[i] : ends[i + n - 1]])) is not None:
                     d = int(owner[i])
                     raw.setdefault(d, []).append((i - int(first[d]), i - int(first[d]) + n))
                     out[d][2].update(ids)
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "
     out, keep = docs, list(keep or docs.columns)
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        found = windows([(r["id"], r["text"].encode()) for r in part.collect() if r["id"] is not None], width)
+        found = windows([(r["id"], r["text"].encode()) for r in part.collect()], width)
         out = out.select(*keep, *(["text"] if "text" not in keep else []), *(["_found"] if k else []))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name != "_found")
         out = out.mapInArrow(_scanned(found, out.columns.index("text"), out.columns.index("_found") if k else None), f"{kinds}, _found {FOUND}")

@@ -63,3 +63,13 @@ def test_removal_of_documents_and_spans(spark):
     assert {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 6, 8, 9, 10}
     cut = {r["doc_id"]: r["text"] for r in decontamination.decontaminate(df, bench, spans=True).collect()}
     assert cut[1] == " omicron pi rho sigma tau upsilon" and cut[3] is None
+
+
+def test_items_without_an_id_are_hits(spark):
+    docs = spark.createDataFrame([(1, "one Theta-Iota two"), (2, "theta two iota"), (3, "alpha beta gamma theta iota")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "theta iota"), (None, "theta iota"), (1, "alpha beta gamma")], "item_id long, text string")
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert rows(decontamination.contamination(docs, bench)) == [(1, 4, 2, 0, digest(""), True), (2, 3, 0, 0, digest(""), False), (3, 5, 5, 1, digest("1"), True)]
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {2}
+    found = decontamination.scan(docs, bench, block_bytes=100).collect()  # several blocks
+    assert sorted((r["doc_id"], sum(s["b"] - s["a"] for s in r["_found"]["spans"])) for r in found) == [(1, 2), (2, 0), (3, 5)]
