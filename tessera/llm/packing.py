@@ -115,14 +115,14 @@ def _pieces(model: str, capacity: int, end_id: int):
                     size += len(held[-1])
                     till += 1
                 out = []
-                for key, row in zip(keys[at:till], ids.encode(held), strict=True):
+                for doc_id, row in zip(keys[at:till], ids.encode(held), strict=True):
                     row += end
                     n = len(row) // 4
                     first = n % capacity or capacity
                     start = 0
                     for piece, stop in enumerate(range(first, n + 1, capacity)):
                         length = stop - start
-                        out.append((key, piece, start, length, zlib.crc32(row[4 * start : 4 * stop]), task, seen[length]))
+                        out.append((doc_id, piece, start, length, zlib.crc32(row[4 * start : 4 * stop]), task, seen[length]))
                         seen[length] += 1
                         start = stop
                 at = till

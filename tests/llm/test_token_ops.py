@@ -101,3 +101,17 @@ def test_plan_uses_each_piece_once(seed):
         for p in parts:
             used[p] += n
     assert (used == counts).all()
+
+
+def test_packing_makes_one_encoder_for_all_batches(monkeypatch):
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "_MADE", made := {})
+    batches = [pa.record_batch([pa.array([k], pa.int64()), pa.array(["some text"])], ["doc_id", "text"]) for k in (11, 12, 13)]
+    out = list(packing._pieces(Path(BYTES).read_text("utf-8"), 2048, 0)(iter(batches)))
+    assert [b.column(0).to_pylist() for b in out] == [[11], [12], [13]] and len(made) == 1
