@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column as SparkColumn, DataFrame, functions as F, types as T
 
 from .types import spark_type
 
-__all__ = ["Expression", "col", "column_index", "lit", "cast", "try_cast", "function", "add", "subtract", "multiply", "divide", "modulus", "eq", "neq", "gt", "gteq", "lt", "lteq", "and_", "or_", "not_", "sum_", "min_", "max_", "avg", "count", "count_rows", "count_distinct"]
+__all__ = ["Expression", "col", "column_index", "lit", "cast", "try_cast", "function", "add", "subtract", "multiply", "divide", "modulus", "eq", "neq", "gt", "gteq", "lt", "lteq", "and_", "or_", "not_", "sum_", "min_", "max_", "avg", "count", "count_rows", "count_distinct", "user_aggregate"]
 
 
 class Expression:
@@ -170,6 +171,24 @@ sum_, min_, max_, avg = _aggregate("SUM", F.sum), _aggregate("MIN", F.min), _agg
 count, count_distinct = _aggregate("COUNT", F.count), _aggregate("COUNT_DISTINCT", F.count_distinct)
 
 
+def user_aggregate(name: str, reduce: Callable[..., object], kind: object) -> Callable[..., Expression]:
+    """An aggregate of one's own: ``reduce`` gets a pandas Series for each argument, with all values of a group, and gives one value.
+
+    It has no partial step, so a group's values meet in one task; built-in aggregates (``function``) combine before the shuffle.
+    """
+
+    def whole(*values: pd.Series) -> float:  # the hints tell Spark that a group becomes a value, of whatever kind
+        return reduce(*values)
+
+    run = F.pandas_udf(whole, spark_type(kind))
+
+    def make(*args: object) -> Expression:
+        found = [of(a) for a in args]
+        return Expression(lambda df: run(*(a.resolve(df) for a in found)), name)
+
+    return make
+
+
 def count_rows() -> Expression:
     """Rows, nulls or not: COUNT(*)."""
     return Expression(lambda df: F.count(F.lit(1)), "COUNT")

@@ -47,13 +47,21 @@ def suffixed(left: Sequence[str], right: Sequence[str]) -> list[str]:
     return out
 
 
+def column_of(df: DataFrame, name: str) -> str:
+    """The column of that name, else the only one that differs in case, as the engine finds names elsewhere."""
+    if name in df.columns:
+        return name
+    found = [c for c in df.columns if c.lower() == name.lower()]
+    if len(found) != 1 or df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        raise ValueError(f"{'several columns' if found else 'no column'} {name!r} among {df.columns}")
+    return found[0]
+
+
 def join(left: DataFrame, right: DataFrame, left_on: Sequence[str], right_on: Sequence[str], how: str = "inner") -> DataFrame:
     """An equi-join that keeps all columns of both sides, both copies of the keys; null keys never match."""
     if len(left_on) != len(right_on) or not left_on:
         raise ValueError("a join needs as many keys on the left as on the right, and one at least")
-    for names, df in ((left_on, left), (right_on, right)):
-        if missing := [n for n in names if n not in df.columns]:
-            raise ValueError(f"no column {missing[0]!r} among {df.columns}")
+    left_on, right_on = ([column_of(df, n) for n in names] for names, df in ((left_on, left), (right_on, right)))
     names = suffixed(left.columns, right.columns)
     renamed = right.toDF(*names)
     to = dict(zip(right.columns, names, strict=True))

@@ -7,6 +7,7 @@ names. Names live in the session's temporary views; contexts on one session shar
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from os import PathLike
 
 import pyarrow as pa
@@ -28,9 +29,21 @@ def dialect(text: str) -> str:
     return _TOKEN.sub(fix, text)
 
 
+#: The engine's own settings and their defaults; names that start with ``spark.sql.`` go to the session.
+SETTINGS = {"csv.batch_size": 1024}
+
+
 class EngineContext:
+    """``settings``: ``csv.batch_size``, the most rows of a batch of ``execute_batches``, and any ``spark.sql.`` setting."""
+
     def __init__(self, spark: SparkSession, settings: dict[str, object] | None = None) -> None:
-        self.spark, self.settings = spark, dict(settings or {})
+        self.spark, self.settings = spark, dict(SETTINGS)
+        for name, value in (settings or {}).items():
+            if name.startswith("spark.sql."):
+                spark.conf.set(name, str(value))
+            elif name not in SETTINGS:
+                raise ValueError(f"no setting {name!r}; there are {', '.join(SETTINGS)} and those of spark.sql")
+            self.settings[name] = value
 
     def sql(self, text: str) -> Frame:
         return Frame(self.spark.sql(dialect(text)))
@@ -57,11 +70,16 @@ class EngineContext:
     def register_parquet(self, name: str, path: str | PathLike[str]) -> None:
         self.register(name, self.parquet(path))
 
+    def source(self, source: sources.DataSource, projection: list[str] | None = None) -> Frame:
+        """The rows of an own source; its scan gets the projection and the comparisons that a filter makes."""
+        return Frame(sources.custom(self.spark, source, projection))
+
     def register_data_source(self, name: str, source: sources.DataSource) -> None:
-        self.register(name, source.read(self.spark))
+        self.register(name, self.source(source))
 
     def execute(self, frame: Frame | DataFrame) -> Result:
         return Result(frame.df if isinstance(frame, Frame) else frame)
 
-    def execute_batches(self, frame: Frame | DataFrame) -> list[pa.RecordBatch]:
-        return self.execute(frame).to_batches()
+    def execute_batches(self, frame: Frame | DataFrame) -> Iterator[pa.RecordBatch]:
+        """The rows as a stream of batches; the driver holds one partition at a time."""
+        return self.execute(frame).batches(int(self.settings["csv.batch_size"]))

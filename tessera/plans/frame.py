@@ -47,5 +47,14 @@ class Frame:
     def optimized_plan(self) -> str:
         return self.df._jdf.queryExecution().optimizedPlan().toString()
 
+    def physical_plan(self) -> str:
+        return self.df._jdf.queryExecution().executedPlan().toString()
+
+    def pretty(self) -> str:
+        """The analyzed plan, a node to a line, a tab to a level."""
+        lines = self.logical_plan().rstrip("\n").split("\n")
+        depth = lambda line: (len(line) - len(line.lstrip(" :+-"))) // 3
+        return "\n".join("\t" * depth(line) + line.lstrip(" :+-") for line in lines)
+
     def explain(self, mode: str = "formatted") -> None:
         self.df.explain(mode)

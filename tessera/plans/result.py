@@ -9,6 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def _packed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                yield pa.record_batch([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+    return run
+
+
 class Result:
     def __init__(self, df: DataFrame) -> None:
         self.df = df
@@ -26,11 +39,20 @@ class Result:
         return self.df.toPandas()
 
     def to_batches(self) -> list[pa.RecordBatch]:
+        """All batches at once, in the driver's memory; see ``batches``."""
         return self.df.toArrow().to_batches()
 
+    def batches(self, size: int = 1024) -> Iterator[pa.RecordBatch]:
+        """Batches of at most ``size`` rows. The driver holds those of one partition at a time."""
+        for row in self.df.mapInArrow(_packed(size), "batch binary").toLocalIterator():
+            with pa.ipc.open_stream(row["batch"]) as stream:
+                yield from stream
+
     def to_markdown(self, limit: int | None = None, truncate: bool = False) -> str:
         """A pipe table; with ``truncate``, values of over 30 characters are cut to 27 and dots."""
-        rows = (self.df if limit is None else self.df.limit(limit)).collect()
+        return self._table((self.df if limit is None else self.df.limit(limit)).collect(), truncate)
+
+    def _table(self, rows: list, truncate: bool) -> str:
         text = lambda v: "" if v is None else str(v)
         cut = lambda s: s[:27] + "..." if truncate and len(s) > 30 else s
         table = [list(self.df.columns), *([cut(text(v)).replace("|", "\\|") for v in r] for r in rows)]
@@ -39,19 +61,26 @@ class Result:
         return "\n".join([line(table[0]), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, table[1:])])
 
     def show(self, limit: int = 20, truncate: bool = True) -> None:
-        print(self.to_markdown(limit, truncate))
-        print(f"({min(limit, len(self))} of {len(self)} rows)")
+        """Prints the first rows; one job, which reads one row beyond the limit to tell whether there are more."""
+        rows = self.df.limit(limit + 1).collect()
+        print(self._table(rows[:limit], truncate))
+        print(f"(first {limit} rows)" if len(rows) > limit else f"({len(rows)} rows)")
 
-    def to_csv(self, header: bool = True) -> str:
-        """Delimited text, quoted where needed; null is written ``null``. Rows stream through the driver."""
+    def csv_lines(self, header: bool = True) -> Iterator[str]:
+        """Lines of delimited text, quoted where needed; null is written ``null``. Rows stream through the driver."""
 
         def field(v: object) -> str:
             s = "null" if v is None else str(v)
             return '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\n\r') else s
 
-        lines = [",".join(map(field, self.df.columns))] if header else []
-        lines += [",".join(map(field, r)) for r in self.df.toLocalIterator()]
-        return "\n".join(lines) + "\n"
+        if header:
+            yield ",".join(map(field, self.df.columns)) + "\n"
+        for r in self.df.toLocalIterator():
+            yield ",".join(map(field, r)) + "\n"
+
+    def to_csv(self, header: bool = True) -> str:
+        """The lines of ``csv_lines`` as one text, in the driver's memory."""
+        return "".join(self.csv_lines(header))
 
     def __iter__(self) -> Iterator[dict[str, object]]:
         return (r.asDict() for r in self.df.toLocalIterator())

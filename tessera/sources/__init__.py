@@ -1,5 +1,6 @@
-"""Sources: delimited text, Parquet files and folders, and rows in memory."""
+"""Sources: delimited text, Parquet files and folders, rows in memory, and own sources."""
 
-from .readers import DataSource, csv, memory, parquet
+from .custom import Comparison, DataSource, custom
+from .readers import csv, memory, parquet
 
-__all__ = ["DataSource", "csv", "memory", "parquet"]
+__all__ = ["Comparison", "DataSource", "csv", "custom", "memory", "parquet"]

@@ -5,18 +5,11 @@ from __future__ import annotations
 import csv as _csv
 from collections.abc import Iterable
 from os import PathLike
-from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 
-class DataSource(Protocol):
-    """Anything that gives a DataFrame; its filters and projections are Catalyst's."""
-
-    def read(self, spark: SparkSession) -> DataFrame: ...
-
-
 def _head(spark: SparkSession, path: str, size: int = 4096) -> str:
     """The first bytes of the first file at a path, from whatever store Spark reads."""
     found = spark.read.format("text").load(path).limit(50).collect()  # lines, read lazily by one task
@@ -24,11 +17,15 @@ def _head(spark: SparkSession, path: str, size: int = 4096) -> str:
 
 
 def sniff(head: str) -> str:
-    """The delimiter of a sample, a comma when none can be told."""
-    try:
-        return _csv.Sniffer().sniff(head, delimiters=",\t;|").delimiter
-    except _csv.Error:
-        return ","
+    """The delimiter of a sample: a usual one, else any sign that isn't a letter, digit or quote; a comma when none can be told."""
+    for usual in (",\t;|", None):
+        try:
+            found = _csv.Sniffer().sniff(head, delimiters=usual).delimiter
+        except _csv.Error:
+            continue
+        if not found.isalnum() and found not in "\"'_\r\n":
+            return found
+    return ","
 
 
 def csv(spark: SparkSession, path: str | PathLike[str], header: bool = True, schema: T.StructType | str | None = None, sep: str | None = None) -> DataFrame:

@@ -8,9 +8,10 @@ from tessera import EngineContext
 from tessera import functions as X
 from tessera.operators.relational import suffixed
 from tessera.plans.context import dialect
+from tessera.sources.readers import sniff
 
 c = X.col
-EMPLOYEES = "id,first_name,last_name,state,job_title,salary\n1,Bill,Hopkins,CA,Engineer,12000\n2,Gregg,Langford,CO,Manager,11500\n3,John,Travis,CO,Engineer,11500\n"
+BOATS = "id,name,harbour,region,kind,metres\n1,Petrel,Kilve,SW,ketch,31\n2,Dunlin,Amble,NE,yawl,24\n3,Whimbrel,Blyth,NE,ketch,24\n"
 
 
 @pytest.fixture(scope="module")
@@ -19,9 +20,9 @@ def ctx(spark):
 
 
 @pytest.fixture
-def employees(tmp_path):
-    path = tmp_path / "employee.csv"
-    path.write_text(EMPLOYEES)
+def boats(tmp_path):
+    path = tmp_path / "boats.csv"
+    path.write_text(BOATS)
     return path
 
 
@@ -29,22 +30,22 @@ def rows(frame):
     return sorted((tuple(r) for r in frame.df.collect()), key=repr)
 
 
-def test_csv_header_types_and_projection(ctx, employees):
-    frame = ctx.csv(employees)
+def test_csv_header_types_and_projection(ctx, boats):
+    frame = ctx.csv(boats)
     assert {f.dataType.simpleString() for f in frame.schema()} == {"string"}
-    assert rows(frame.project(["id", "state"])) == [("1", "CA"), ("2", "CO"), ("3", "CO")]
+    assert rows(frame.project(["id", "region"])) == [("1", "SW"), ("2", "NE"), ("3", "NE")]
 
 
 def test_csv_without_header_and_tabs(ctx, tmp_path):
     path = tmp_path / "e.tsv"
-    path.write_text("1\tBill\n2\t\n\n3\t\"a\"\"b\tc\"\n")
+    path.write_text("1\tketch\n2\t\n\n3\t\"a\"\"b\tc\"\n")
     frame = ctx.csv(path, header=False)
     assert frame.schema().names == ["field_1", "field_2"]
-    assert rows(frame) == [("1", "Bill"), ("2", None), ("3", 'a"b\tc')]
+    assert rows(frame) == [("1", "ketch"), ("2", None), ("3", 'a"b\tc')]
 
 
-def test_csv_schema_and_single_column(ctx, tmp_path, employees):
-    assert rows(ctx.csv(employees, schema="id int, first_name string, last_name string, state string, job_title string, salary long").aggregate([], [X.sum_(c("salary"))])) == [(35000,)]
+def test_csv_schema_and_single_column(ctx, tmp_path, boats):
+    assert rows(ctx.csv(boats, schema="id int, name string, harbour string, region string, kind string, metres long").aggregate([], [X.sum_(c("metres"))])) == [(79,)]
     path = tmp_path / "one.csv"
     path.write_text("name\nx\ny\n")
     assert rows(ctx.csv(path)) == [("x",), ("y",)]
@@ -126,17 +127,17 @@ def test_joins(ctx):
     assert suffixed(["v", "v_right"], ["v", "v_right"]) == ["v_right2", "v_right_right"]
 
 
-def test_sql_end_to_end(ctx, employees, tmp_path):
-    states = tmp_path / "s.csv"
-    states.write_text("state_code,state_name\nCA,California\nCO,Colorado\n")
-    ctx.register_csv("employee", employees)
-    ctx.register_csv("state_names", states)
-    assert rows(ctx.sql("SELECT s.state_name, MAX(CAST(e.salary AS INT64)) AS top FROM employee e JOIN state_names s ON s.state_code = e.state WHERE e.id > '0' GROUP BY s.state_name HAVING COUNT(*) > 1")) == [("Colorado", 11500)]
-    assert rows(ctx.sql("select first_name from employee order by first_name limit 1")) == [("Bill",)]
-    ctx.register("ca", ctx.table("employee").filter(c("state") == "CA"))
-    assert rows(ctx.sql("SELECT first_name FROM ca")) == [("Bill",)]
+def test_sql_end_to_end(ctx, boats, tmp_path):
+    coasts = tmp_path / "coasts.csv"
+    coasts.write_text("code,coast\nSW,Bristol Channel\nNE,North Sea\n")
+    ctx.register_csv("boats", boats)
+    ctx.register_csv("coasts", coasts)
+    assert rows(ctx.sql("SELECT s.coast, MAX(CAST(b.metres AS INT64)) AS top FROM boats b JOIN coasts s ON s.code = b.region WHERE b.id > '0' GROUP BY s.coast HAVING COUNT(*) > 1")) == [("North Sea", 24)]
+    assert rows(ctx.sql("select name from boats order by name limit 1")) == [("Dunlin",)]
+    ctx.register("southwest", ctx.table("boats").filter(c("region") == "SW"))
+    assert rows(ctx.sql("SELECT name FROM southwest")) == [("Petrel",)]
     with pytest.raises(AnalysisException):
-        ctx.sql("SELECT nothing FROM employee")
+        ctx.sql("SELECT nothing FROM boats")
 
 
 def test_dialect_leaves_text_alone():
@@ -149,23 +150,66 @@ def test_results(ctx, capsys):
     assert result.scalar() == 1 and result.to_pandas().shape == (3, 2) and sum(b.num_rows for b in result.to_batches()) == 3
     assert result.to_csv() == 'id,s\n1,"a,""b"""\n2,null\n3,' + "y" * 40 + "\n"
     result.show(2)
-    assert "(2 of 3 rows)" in capsys.readouterr().out
+    assert "(first 2 rows)" in capsys.readouterr().out
+    result.show(3)
+    assert "(3 rows)" in capsys.readouterr().out
+    assert [b.num_rows for b in result.batches(2)] in ([2, 1], [1, 1, 1], [1, 2]) and list(result.csv_lines(False))[1] == "2,null\n"
     assert "y" * 27 + "..." in result.to_markdown(truncate=True) and [r["id"] for r in result] == [1, 2, 3]
     empty = ctx.execute(ctx.memory([], "id int"))
     assert empty.collect() == [] and empty.scalar() is None and list(empty.to_pandas().columns) == ["id"]
 
 
-def test_data_source_and_plans(ctx):
+def test_own_source_gets_projection_and_filter(ctx, tmp_path):
+    seen = tmp_path / "seen"
+
     class Numbers:
-        def read(self, spark):
-            return spark.range(3)
+        def schema(self):
+            return "id BIGINT, name STRING"
+
+        def scan(self, projection, filters, split=0):
+            seen.write_text(repr((list(projection), [(f.column, f.sign, f.value) for f in filters])))
+            yield pa.record_batch({"id": pa.array([0, 1, 2], pa.int64()), "name": pa.array(["a", "b", None])})
 
     ctx.register_data_source("numbers", Numbers())
     frame = ctx.table("numbers").filter(c("id") > 0)
-    assert rows(frame) == [(1,), (2,)] and "Filter" in frame.logical_plan() and "Range" in frame.optimized_plan()
+    assert rows(frame) == [(1, "b"), (2, None)]
+    assert seen.read_text() == repr((["id", "name"], [("id", ">", 0)]))
+    assert rows(ctx.source(Numbers(), ["name"])) == [("a",), ("b",), (None,)] and seen.read_text().startswith("(['name'], ")
+    with pytest.raises(ValueError):
+        ctx.source(Numbers(), ["none"])
     assert sum(b.num_rows for b in ctx.execute_batches(frame)) == 2
 
 
+def test_plans(ctx):
+    frame = ctx.memory([(1, "a")], "id int, s string").filter(c("id") > 0).project(["s"])
+    assert "Filter" in frame.logical_plan() and "Project" in frame.optimized_plan() and "Project" in frame.physical_plan()
+    lines = frame.pretty().splitlines()
+    assert lines[0].startswith("Project") and lines[1].startswith("\tFilter") and lines[2].startswith("\t\t")
+
+
+def test_settings(spark):
+    ctx = EngineContext(spark, {"csv.batch_size": 2, "spark.sql.session.timeZone": "UTC"})
+    assert [b.num_rows for b in ctx.execute_batches(spark.range(5).coalesce(1))] == [2, 2, 1]
+    with pytest.raises(ValueError):
+        EngineContext(spark, {"csv.batchsize": 2})
+
+
+@pytest.mark.parametrize(("head", "sep"), [("a:b\n1:2\n3:4\n", ":"), ("a~b~c\n1~2~3\n", "~"), ("a\tb\n1\t2\n", "\t"), ("word\nwood\nworld\n", ","), ("", ","), ("a;b\n1,5;2\n", ";")])
+def test_sniff(head, sep):
+    assert sniff(head) == sep
+
+
+def test_names_in_any_case_and_ambiguity(ctx):
+    left, right = ctx.memory([(1, 2)], "Key int, v int"), ctx.memory([(1, 3)], "key int, v int")
+    assert rows(left.join(right, ["KEY"], ["KEY"])) == [(1, 2, 1, 3)]
+    ctx.register("l", left)
+    ctx.register("r", right)
+    with pytest.raises(AnalysisException, match="AMBIGUOUS"):
+        ctx.sql("SELECT v FROM l JOIN r ON l.key = r.key")
+    with pytest.raises(AnalysisException):
+        ctx.sql("SELECT l.none FROM l JOIN r ON l.key = r.key")
+
+
 def test_windowed_counts_on_a_stream(ctx, spark, tmp_path):
     from tessera.streaming import windowed_counts
 
