@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_OWN_DIR: dict[str, str] = {}
+from ..storage import remove, scratch
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,20 +16,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting (tests); then a temporary folder of the driver stands in.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return _OWN_DIR.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessera-"))
-
-
 class Workspace:
     """Tables written to the shared folder to cut lineage, so that lost executors cost only a reread.
 
@@ -42,8 +24,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.n = spark, 0
-        self.root = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        self.root = scratch(spark, label)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -59,23 +40,46 @@ class Workspace:
 
     def drop(self, df: DataFrame) -> None:
         if path := getattr(df, "_tessera_path", None):
-            self._remove(path)
+            remove(self.spark, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+#: Bits of one bitmap of Spark's bitmap functions (fixed), and the most bitmaps that may be broadcast: 16 MB.
+BITMAP, BITMAPS = 1 << 15, 1 << 12
+
+
+def marked_by(rows: DataFrame, key: Column, wanted: DataFrame, name: str, mark: str) -> DataFrame:
+    """Adds a column ``mark``: whether ``key`` (a long) may be among the values of column ``name`` of ``wanted``.
+
+    True for all that are, and for few others. The broadcast is a hash bitmap of at most 16 MB whatever the number of values;
+    where there are so many that it fills up, more rows are marked, in the end all.
+    """
+    n = max(1, wanted.count())
+    bits = BITMAP * min(BITMAPS, 1 << max(0, (16 * n // BITMAP).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c, F.lit("slot")), F.lit(bits))
+    bitmaps = wanted.select(slot(F.col(name)).alias("s")).groupBy(F.floor(F.col("s") / BITMAP).alias("__bucket")).agg(F.bitmap_construct_agg(F.pmod("s", F.lit(BITMAP))).alias("__bits"))
+    columns = rows.columns
+    rows = rows.withColumn("__slot", slot(key))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.pmod("__slot", F.lit(BITMAP)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, F.pmod("__slot", F.lit(8)).cast("int")) == 1
+    rows = rows.join(F.broadcast(bitmaps), F.floor(F.col("__slot") / BITMAP) == F.col("__bucket"), "left")
+    return rows.select(*(f"`{c}`" for c in columns), F.coalesce(held, F.lit(False)).alias(mark))
 
-    def free(self) -> None:
-        """Lets Spark delete the shuffle files of plans whose results are written; it does so when the driver's JVM collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
 
-    def _remove(self, path: str) -> None:
-        try:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001  the session may have ended; the folder belongs to the cluster
-            pass
+def possible(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows that ``marked_by`` marks. It spares the shuffle of a join most rows that meet nothing."""
+    columns = rows.columns
+    return marked_by(rows, key, wanted, name, "__maybe").where("__maybe").select(*(f"`{c}`" for c in columns))
 
 
-def chunks(batch: pa.RecordBatch, column: int, limit: int = 1 << 21) -> Iterator[tuple[int, int, list[bytes]]]:
+def chunks(batch: pa.RecordBatch, column: int, limit: int = 1 << 19) -> Iterator[tuple[int, int, list[bytes]]]:
     """Row ranges (from, to, texts as UTF-8 bytes) of a batch, of about ``limit`` bytes or of one row; null is empty."""
     values = batch.column(column).cast(pa.binary())
     start, size, held = 0, 0, []
