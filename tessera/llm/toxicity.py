@@ -2,16 +2,20 @@
 
 Voters look at a text: lexicons of words, and patterns of characters and layout. A generative label model estimates, by
 expectation maximisation, how often each voter is right and how it leans on the voter it depends on most (a tree of
-correlations), with the known labels as one voter among them; its posterior labels train a linear classifier over word
-presence and votes. Scores put the cut that fits the posterior labels best at ``cut``.
-
-Fitting uses a sample of labelled rows, at most ``SAMPLE``, taken by the hash of their ids from all rows of the training
-folds; their distinct words come to the driver. The fitted weights (at most ``WORDS`` words and the voters) go to the
-executors, and every whole text is scored in one pass without a shuffle. Labels, language, source and ids are never inputs.
-
-Defined results: null and empty texts have no words and get the score of such a text; repeated rows score alike; rows without
-a label or with a null one do not train; several labels of an id count as their largest; without any usable label, or with
-one class only, every score is 0; other columns are ignored; an empty table gives an empty result.
+correlations). The given labels are one voter more, whose accuracy is estimated like the others', so that voters who agree
+overrule a wrong label; rows without a label take part too. The posterior labels train a linear classifier over word presence
+and votes. Scores put the cut that fits the posterior labels best at ``cut``.
+
+Fitting uses a sample of the training folds, by the hash of the ids: at most ``SAMPLE`` rows with a label, and ``UNLABELLED``
+times as many without. Its texts stay in Spark: words are counted there, and the driver gets the ``WORDS`` that tell most and, for each row,
+which of them it has and its pattern votes; their size is bounded by these parameters, however long the texts are. The fitted
+weights go to the executors, and every whole text is scored in one pass without a shuffle. Labels, language, source and ids are
+never inputs.
+
+Defined results: null and empty texts have no words and get the score of such a text; repeated rows score alike, and one text of
+each id, the least, may train; rows without a label or with a null one train without it; several labels of an id count as their
+largest; without any usable label, or with one class only, every score is 0; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +26,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Bound of the fitting sample, in labelled rows, and of the words that carry a weight.
-SAMPLE, WORDS = 8_000, 400
+from .common import Workspace
+
+#: Bound of the fitting sample in rows with a label, rows without one for each of them, and the bound of the words that carry a weight.
+SAMPLE, UNLABELLED, WORDS = 16_000, 1 / 16, 400
+#: Rows of the sample that must hold a word.
+LEAST = 8
 #: Bytes to bytes: what isn't a letter becomes a space, capitals small.
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 #: Bytes of a stem.
 STEMS = (4, 5, 6)
-#: Share of the known labels that are taken to be right.
-KNOWN = 0.97
+#: The most log odds that all voters together may have.
+CLIP = 12.0
 PATTERNS = ["shouting", "exclaiming", "symbols", "digits", "repeating", "short", "lines"]
 
 
@@ -49,35 +57,42 @@ def patterns(text: bytes, n_words: int) -> list[int]:
     return [int(capitals > 0.3 * n), int(marks > 0.01 * n), int(symbols > 0.03 * n), int(digits > 0.1 * n), int(n_words * 12 < len(text) // 6), int(n_words < 12), int(text.count(b"\n") > n / 40)]
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) to (word, toxic rows, other rows) of each batch."""
     for batch in batches:
-        out = []
-        for text in batch.column(0):
-            raw = (text.as_py() or "").encode()
-            w = words(raw)
-            out.append((b" ".join(sorted(w)), bytes(patterns(raw, len(w)))))
-        yield pa.record_batch([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)], ["words", "patterns", "toxic"])
-
-
-def interned(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
-    """The distinct words of all texts (each its words joined by spaces), and for each text the numbers of its own."""
-    number: dict[bytes, int] = {}
-    held = [np.array([number.setdefault(w, len(number)) for w in t.split()], np.int32) for t in texts]
-    return list(number), held
-
-
-def lexicon(vocabulary: list[bytes], held: list[np.ndarray], y: np.ndarray) -> list[tuple[int, float]]:
-    """The words (by number) that tell most about the label by their likelihood ratio, with their log odds."""
-    count = lambda of: np.bincount(np.concatenate([np.zeros(0, np.int32), *(h for h, label in zip(held, y, strict=True) if label == of)]), minlength=len(vocabulary)).astype(float)
-    p, q, a, b = count(True), count(False), float(y.sum()), float(len(y) - y.sum())
-    share = (p + q) / (a + b)
-    tells = np.zeros(len(vocabulary))
-    for n, expected in ((p, a * share), (q, b * share), (a - p, a * (1 - share)), (b - q, b * (1 - share))):
-        tells += np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    odds = np.log((p + 0.5) / (a - p + 0.5)) - np.log((q + 0.5) / (b - q + 0.5))
-    common = np.flatnonzero(p + q >= 8)
-    best = sorted(common.tolist(), key=lambda w: (-tells[w], vocabulary[w]))[:WORDS]
-    return [(w, float(odds[w])) for w in best]
+        held: dict[bytes, list[int]] = {}
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for w in words((text.as_py() or "").encode()):
+                held.setdefault(w, [0, 0])[not toxic] += 1
+        yield pa.record_batch([pa.array(list(held), pa.binary()), *(pa.array([v[k] for v in held.values()], pa.int64()) for k in (0, 1))], ["word", "p", "q"])
+
+
+def lexicon(sample: DataFrame, a: int, b: int) -> list[tuple[bytes, float]]:
+    """The words that tell most about the label by their likelihood ratio, with their log odds; of ``a`` toxic rows and ``b`` others."""
+    counts = sample.where("toxic is not null").select("text", "toxic").mapInArrow(_counted, "word binary, p long, q long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(F.col("p") + F.col("q") >= LEAST)
+    share = (F.col("p") + F.col("q")) / float(a + b)
+    cells = ((F.col("p"), a * share), (F.col("q"), b * share), (a - F.col("p"), a * (1 - share)), (b - F.col("q"), b * (1 - share)))
+    tells = sum((F.when(n > 0, n * F.log(n / F.greatest(expected, F.lit(1e-9)))).otherwise(0.0) for n, expected in cells), F.lit(0.0))
+    odds = F.log((F.col("p") + 0.5) / (a - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (b - F.col("q") + 0.5))
+    best = counts.select("word", odds.alias("odds"), F.round(tells, 9).alias("tells")).orderBy(F.desc("tells"), "word").limit(WORDS)
+    return [(bytes(r["word"]), r["odds"]) for r in best.collect()]
+
+
+def _described(index: dict[bytes, int]):
+    """(text, toxic) to (which words of ``index`` it has, as bits; pattern votes; toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(0):
+                raw = (text.as_py() or "").encode()
+                w = words(raw)
+                has = np.zeros(len(index), np.uint8)
+                has[[index[x] for x in index.keys() & w]] = 1
+                out.append((np.packbits(has).tobytes(), bytes(patterns(raw, len(w)))))
+            yield pa.record_batch([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary()), batch.column(1)], ["words", "patterns", "toxic"])
+
+    return run
 
 
 def voters(chosen: list[tuple[bytes, float]]) -> list[tuple[frozenset[bytes], int]]:
@@ -93,32 +108,35 @@ def voters(chosen: list[tuple[bytes, float]]) -> list[tuple[frozenset[bytes], in
 class LabelModel:
     """P(votes, y) with a tree of dependencies: each voter depends on y and on one other voter."""
 
-    def fit(self, votes: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """Posterior P(y = 1) of each row. Votes are -1, 0 (abstains) or 1; the last column holds the known labels."""
+    def fit(self, votes: np.ndarray, rounds: int = 40) -> np.ndarray:
+        """Posterior P(y = 1) of each row. Votes are -1, 0 (abstains) or 1; the last column holds the given labels, 0 where there is none."""
         n, m = votes.shape
         v = votes.astype(np.int64) + 1
-        post = np.where(votes[:, -1] == 0, 0.1, (votes[:, -1] > 0) * 0.98 + 0.01)
+        given = votes[:, -1]
+        base = np.clip((given > 0).sum() / max(1, (given != 0).sum()), 0.01, 0.99)
+        post = np.where(given == 0, base, (given > 0) * 0.8 + 0.1)
         one_hot = np.stack([v == k for k in range(3)], 2).astype(float)
         self.parent = np.full(m, -1)
         for r in range(rounds):
             if r in (0, 8):
-                self.parent = self._tree(one_hot, post)
+                self.parent = self._tree(one_hot[:, :-1], post)
             log = np.zeros((n, 2))
-            prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-            log += np.log([1 - prior, prior])
             for j in range(m - 1):
                 p = self.parent[j]
+                above = v[:, p] if p >= 0 else np.zeros(n, np.int64)
                 for y, weight in ((0, 1 - post), (1, post)):
-                    joint = np.zeros((3, 3)) + 0.1
-                    np.add.at(joint, (v[:, p] if p >= 0 else np.zeros(n, np.int64), v[:, j]), weight)
-                    table = joint / joint.sum(1, keepdims=True)
-                    log[:, y] += np.log(table[v[:, p] if p >= 0 else 0, v[:, j]])
-            # the voters together weigh less than a known label, of which KNOWN are right
-            known = np.where(votes[:, -1] == 0, 0.0, votes[:, -1] * np.log(KNOWN / (1 - KNOWN)))
-            new = 1 / (1 + np.exp(-(np.clip(log[:, 1] - log[:, 0], -3, 3) + known)))
-            if np.abs(new - post).max() < 1e-4:
-                break
+                    joint = np.bincount(3 * above + v[:, j], weight, 9).reshape(3, 3) + 0.1
+                    log[:, y] += np.log(joint / joint.sum(1, keepdims=True))[above, v[:, j]]
+            # what the given labels are worth is estimated too; a row without one has no vote there
+            self.right = np.array([((given == s) * w).sum() + 2 for s, w in ((-1, 1 - post), (1, post))]) / np.array([((given != 0) * w).sum() + 2.5 for w in (1 - post, post)])
+            false, true = self.right
+            label = np.where(given > 0, np.log(true / (1 - false)), np.where(given < 0, np.log((1 - true) / false), 0.0))
+            prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
+            new = 1 / (1 + np.exp(-(np.clip(log[:, 1] - log[:, 0], -CLIP, CLIP) + label + np.log(prior / (1 - prior)))))
+            done = np.abs(new - post).max() < 1e-4
             post = new
+            if done and r > 8:
+                break
         return post
 
     def _tree(self, one_hot: np.ndarray, post: np.ndarray) -> np.ndarray:
@@ -131,11 +149,11 @@ class LabelModel:
             joint = (flat.T @ (flat * weight[:, None])).reshape(m, 3, m, 3).transpose(0, 2, 1, 3) / total + 1e-6
             single = (flat * weight[:, None]).sum(0).reshape(m, 3) / total + 1e-6
             info += total / n * (joint * (np.log(joint) - np.log(single)[:, None, :, None] - np.log(single)[None, :, None, :])).sum((2, 3))
-        parent, known = np.full(m, -1), [m - 1]  # the known labels are the root
-        rest = [j for j in range(m - 1)]
+        parent, known = np.full(m, -1), []
+        rest = list(range(m))
         while rest:
-            gain, j, p = max((info[j, p], -j, p) for j in rest for p in known)
-            parent[-j] = p if gain > 0.002 and p != m - 1 else -1
+            gain, j, p = max((info[j, p], -j, p) for j in rest for p in known) if known else (0, -rest[0], -1)
+            parent[-j] = p if gain > 0.002 else -1
             known.append(-j)
             rest.remove(-j)
         return parent
@@ -161,21 +179,14 @@ def classify(x: np.ndarray, target: np.ndarray, penalty: float = 3.0, steps: int
 class Model:
     """Weights by word, lexicon voters and pattern voters."""
 
-    def __init__(self, texts: list[bytes], shown: list[list[int]], y: np.ndarray, cut: float) -> None:
-        vocabulary, held = interned(texts)
-        chosen = lexicon(vocabulary, held, y)
-        column = np.full(len(vocabulary), -1)
-        column[[w for w, _ in chosen]] = np.arange(len(chosen))
-        self.index = {vocabulary[w]: k for k, (w, _) in enumerate(chosen)}
-        self.voters = voters([(vocabulary[w], odds) for w, odds in chosen])
-        x = np.zeros((len(held), len(chosen)))
-        for r, h in enumerate(held):
-            k = column[h]
-            x[r, k[k >= 0]] = 1
+    def __init__(self, chosen: list[tuple[bytes, float]], x: np.ndarray, shown: np.ndarray, given: np.ndarray, cut: float) -> None:
+        """``x``: which of the chosen words each row has; ``shown``: its pattern votes; ``given``: its label as -1 or 1, 0 for none."""
+        self.index = {w: k for k, (w, _) in enumerate(chosen)}
+        self.voters = voters(chosen)
         ruled = [vote * x[:, [self.index[w] for w in lex]].any(1) for lex, vote in self.voters]
-        ruled = np.concatenate([np.array(ruled, np.int8).reshape(len(ruled), len(x)).T, np.array(shown, np.int8)], 1)
-        self.posterior = LabelModel().fit(np.concatenate([ruled, np.where(y, 1, -1).astype(np.int8)[:, None]], 1))
-        x = np.concatenate([x, ruled], 1)
+        ruled = np.concatenate([np.array(ruled, np.int8).reshape(len(ruled), len(x)).T, shown.astype(np.int8)], 1)
+        self.posterior = LabelModel().fit(np.concatenate([ruled, given.astype(np.int8)[:, None]], 1))
+        x = np.concatenate([x, ruled], 1).astype(float)
         weights = classify(x, self.posterior)
         self.bias, self.word_weights, self.vote_weights = weights[0], weights[1 : 1 + len(chosen)], weights[1 + len(chosen) :]
         raw = x @ weights[1:] + self.bias
@@ -210,18 +221,29 @@ def training_fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
+def sampled(docs: DataFrame, labels: DataFrame, work: Workspace) -> DataFrame:
+    """(text, toxic) of the fitting sample; toxic is null for rows without a label."""
+    marked = labels.where("toxic is not null and doc_id is not null").where(training_fold(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
+    by_hash = lambda ids, most: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    other = docs.select("doc_id").where("doc_id is not null").where(training_fold(F.col("doc_id"))).join(labels.where("toxic is not null").select("doc_id"), "doc_id", "left_anti").distinct()
+    ids = work.write(by_hash(marked, SAMPLE), "ids")
+    more = work.write(by_hash(other.withColumn("toxic", F.lit(None).cast("int")), int(ids.count() * UNLABELLED)), "ids")
+    # the rows of an id, of which there may be many, meet in each task first
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids.union(more)), "doc_id")
+    return work.write(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "sample")
+
+
 def fit(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> Model | None:
-    ids = labels.where("toxic is not null and doc_id is not null").where(training_fold(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") >= 1).cast("int").alias("toxic"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").mapInArrow(_described, "words binary, patterns binary, toxic int").toArrow()
-    rows = [c.to_pylist() for c in rows.columns] if rows.num_rows else []
-    if not rows:
-        return None
-    rows = sorted(zip(*rows, strict=True))
-    y = np.array([r[2] for r in rows], bool)
-    if y.all() or not y.any():
+    sample = sampled(docs, labels, Workspace(docs.sparkSession, "toxicity"))
+    total = sample.agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).first()
+    if not total["a"] or not total["b"]:
         return None
-    return Model([r[0] for r in rows], [list(r[1]) for r in rows], y, cut)
+    chosen = lexicon(sample, total["a"], total["b"])
+    rows = sample.mapInArrow(_described({w: k for k, (w, _) in enumerate(chosen)}), "words binary, patterns binary, toxic int").toArrow()
+    # in an order of their own, so that sums don't depend on that of the tasks
+    rows = sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True), key=repr)
+    x = np.unpackbits(np.array([list(r[0]) for r in rows], np.uint8).reshape(len(rows), -1), axis=1, count=len(chosen))
+    return Model(chosen, x, np.array([list(r[1]) for r in rows], np.int8), np.array([0 if r[2] is None else 2 * r[2] - 1 for r in rows]), cut)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
