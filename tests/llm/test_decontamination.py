@@ -50,7 +50,7 @@ def test_awkward_rows_and_blocks(spark):
     df, bench = awkward(spark), items(spark)
     expected = brute([(r["doc_id"], r["text"]) for r in df.collect()], [(r["item_id"], r["text"]) for r in bench.collect() if r["item_id"] is not None])
     assert rows(decontamination.contamination(df, bench)) == expected
-    found = decontamination.scan(df.select("doc_id", "text"), bench, block_bytes=100)  # several blocks
+    found = decontamination.scan(df, bench, "_found", block_windows=10)  # several blocks
     assert sorted((r["doc_id"], r["_found"]["n_words"], sum(s["b"] - s["a"] for s in r["_found"]["spans"]), len(r["_found"]["items"])) for r in found.collect() if r["doc_id"]) == sorted(x[:4] for x in expected if x[0])
     assert decontamination.contamination(empty(spark), bench).count() == 0
     assert not any(r["contaminated"] for r in decontamination.contamination(df, bench.limit(0)).collect())
@@ -71,5 +71,15 @@ def test_items_without_an_id_are_hits(spark):
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert rows(decontamination.contamination(docs, bench)) == [(1, 4, 2, 0, digest(""), True), (2, 3, 0, 0, digest(""), False), (3, 5, 5, 1, digest("1"), True)]
     assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {2}
-    found = decontamination.scan(docs, bench, block_bytes=100).collect()  # several blocks
+    found = decontamination.scan(docs, bench, "_found", block_windows=2).collect()  # several blocks
     assert sorted((r["doc_id"], sum(s["b"] - s["a"] for s in r["_found"]["spans"])) for r in found) == [(1, 2), (2, 0), (3, 5)]
+
+
+def test_columns_of_clashing_names_and_windows_of_many_items(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8, 9), (1, "a b c", 7, 8, 9), (None, "x", None, 0, 0)], "doc_id long, text string, found int, row int, mark int")
+    bench = spark.createDataFrame([(k, "A b") for k in range(40)], "item_id long, text string")
+    assert decontamination.decontaminate(docs, bench).collect() == docs.where("doc_id is null").collect()
+    for windows in (3, 1 << 21):
+        found = decontamination.scan(docs, bench, "hits", block_windows=windows)
+        assert found.columns == [*docs.columns, "hits"]
+        assert sorted((r["hits"]["n_words"], len(r["hits"]["items"]), [(s["a"], s["b"]) for s in r["hits"]["spans"]]) for r in found.collect()) == [(1, 0, []), (3, 40, [(0, 2)]), (3, 40, [(0, 2)])]
