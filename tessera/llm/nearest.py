@@ -7,11 +7,14 @@ prefix in any tree as candidates. It stops once a vector as near as the ``k``-th
 present length in some tree with probability ``1 - miss``, or at the root, where the block is searched whole. So no bucket
 and no list of candidates is cut short.
 
-Blocks hold ``BLOCK`` vectors and are written as an index, once; queries are taken in batches of bounded size that go to every
-block. Each block returns ``k`` rows for a query, merged by partial aggregates. Directions come from a seed, nothing is fitted.
+Blocks hold ``BLOCK`` vectors and are written, with their sorted arrays, as an index, once; queries are taken in batches of
+bounded size that go to every block. A task searches its blocks one after another, and what it has found for a query so far lets
+it stop earlier in the next. It returns ``k`` rows for a query, merged by partial aggregates. Directions come from a seed,
+nothing is fitted.
 
 Defined results: vectors that are null, zero, of another width than ``width``, or hold null or non-finite components take no
-part; equal vectors tie to the smaller id; repeated ids count once each; a null id takes no part; an empty table gives none.
+part; equal vectors tie to the smaller id; of several rows of an id, among vectors or queries, the one whose usable vector comes
+first in order stands for it; a null id takes no part; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -43,18 +46,26 @@ def strings(unit: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return raw.reshape(-1).view(">u8").astype(np.uint64).reshape(len(unit), TREES)
 
 
+def trees(vectors: np.ndarray, planes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of all vectors, tree after tree, each tree in order; and the row of each."""
+    codes = strings(vectors / np.sqrt((vectors * vectors).sum(1))[:, None], planes)
+    order = np.argsort(codes, axis=None, kind="stable")
+    return codes.ravel()[order], (order // TREES).astype(np.int32)
+
+
 class Forest:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, planes: np.ndarray) -> None:
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+    """A block: vectors in the order of their ids, and the sorted strings of its trees."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, in_order: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.vectors, self.sorted, self.rows = ids, vectors, in_order, rows
         self.norms = np.sqrt((self.vectors * self.vectors).sum(1))
         self.unit = (self.vectors / self.norms[:, None]).astype(np.float32)
-        codes = strings(self.unit, planes)
-        order = np.argsort(codes, axis=None, kind="stable")  # tree after tree, each in the order of its strings
-        self.sorted, self.rows = codes.ravel()[order], (order // TREES).astype(np.int32)
 
-    def nearest(self, own: int, vector: np.ndarray, codes: np.ndarray, k: int, miss: float) -> list[tuple[float, int]]:
-        """The k nearest found to a query (its id is ``own``, which isn't its neighbour), best first: (score, id)."""
+    def nearest(self, own: int, vector: np.ndarray, codes: np.ndarray, k: int, miss: float, bar: float = -np.inf) -> list[tuple[float, int]]:
+        """The k nearest found to a query (its id is ``own``, which isn't its neighbour), best first: (score, id).
+
+        What is farther than ``bar``, the k-th found elsewhere, isn't looked for.
+        """
         n = len(self.ids)
         norm = np.sqrt((vector * vector).sum())
         unit = (vector / norm).astype(np.float32)
@@ -78,12 +89,12 @@ class Forest:
                 seen[new] = True
                 scores[new] = self.unit[new] @ unit
                 kth = np.partition(scores, -k)[-k] if n > k else -np.inf
-            if kth > -np.inf:
-                agree = 1 - np.arccos(min(1.0, float(kth))) / np.pi
+            if max(kth, bar) > -np.inf:
+                agree = 1 - np.arccos(min(1.0, float(max(kth, bar)))) / np.pi
                 if (1 - agree**bits) ** TREES <= miss:
                     break
         # scores so far are of single precision: all that may be among the nearest are measured again
-        best = np.flatnonzero(scores >= max(float(kth) - 1e-5, -2))
+        best = np.flatnonzero(scores >= max(float(kth) - 1e-5, bar - 1e-5, -2))
         exact = (self.vectors[best] * vector).sum(1) / (self.norms[best] * norm)
         top = np.lexsort((self.ids[best], -exact))[:k]
         return [(float(exact[i]), int(self.ids[best[i]])) for i in top]
@@ -107,18 +118,28 @@ def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return out[ok], rows[ok]
 
 
-def _blocks(width: int):
-    """Rows of a partition to blocks: (ids, vectors) as bytes."""
+def _blocks(width: int, indexed: bool):
+    """Rows of a partition, sorted by id and vector, to blocks as bytes: ids, vectors and, if ``indexed``, the sorted strings and their rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, held = [], [], 0
+        ids, vectors, held, last = [], [], 0, None
+        planes = directions(width) if indexed else None
 
         def block() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(vectors).tobytes()], pa.binary())], ["ids", "vectors"])
+            x = np.concatenate(vectors)
+            parts = [np.concatenate(ids), x, *(trees(x, planes) if indexed else (np.zeros(0), np.zeros(0)))]
+            return pa.record_batch([pa.array([y.tobytes()], pa.binary()) for y in parts], ["ids", "vectors", "strings", "rows"])
 
         for batch in batches:
             found, rows = _matrix(batch.column(1), width)
             keys = np.asarray(batch.column(0))[rows]
+            if not len(keys):
+                continue
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            new[0] = last is None or keys[0] != last
+            last = keys[-1]
+            keys, found = keys[new], found[new]
             for at in range(0, len(keys), BLOCK):
                 if held + len(keys[at : at + BLOCK]) > BLOCK and held:
                     yield block()
@@ -132,16 +153,24 @@ def _blocks(width: int):
     return run
 
 
+BLOCKS = "ids binary, vectors binary, strings binary, rows binary"
+
+
 def _searched(queries: tuple[np.ndarray, np.ndarray], width: int, k: int, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = directions(width)
         own, vectors = queries
-        codes = strings(vectors / np.sqrt((vectors * vectors).sum(1))[:, None], planes)
+        codes, best = None, {}
         for batch in batches:
-            for ids, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forest = Forest(np.frombuffer(ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, width), planes)
-                out = [(int(q), i, s) for j, q in enumerate(own) for s, i in forest.nearest(int(q), vectors[j], codes[j], k, miss)]
-                yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+            for raw in batch.to_pylist():
+                if codes is None:
+                    codes = strings(vectors / np.sqrt((vectors * vectors).sum(1))[:, None], directions(width))
+                forest = Forest(np.frombuffer(raw["ids"], np.int64), np.frombuffer(raw["vectors"], np.float64).reshape(-1, width), np.frombuffer(raw["strings"], np.uint64), np.frombuffer(raw["rows"], np.int32))
+                for j, q in enumerate(own.tolist()):
+                    had = best.get(j, [])
+                    got = forest.nearest(q, vectors[j], codes[j], k, miss, had[-1][0] if len(had) == k else -np.inf)
+                    best[j] = sorted([*had, *got], key=lambda x: (-x[0], x[1]))[:k]
+        out = [(int(own[j]), i, s) for j, found in best.items() for s, i in found]
+        yield pa.record_batch([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -151,11 +180,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, width: int, k: int = 5, miss
     spark = vectors.sparkSession
     work = Workspace(spark, "nearest")
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
-    # rows are dealt by id, so that near vectors are spread over blocks
+    # rows are dealt by id, so that near vectors are spread over blocks, and the rows of an id meet
+    dealt = lambda df, n, indexed: pick(df).repartition(n, "id").sortWithinPartitions("id", "v").mapInArrow(_blocks(width, indexed), BLOCKS)
     many = max(1, -(-vectors.count() // BLOCK))
-    index = work.write(pick(vectors).repartition(many, "id").mapInArrow(_blocks(width), "ids binary, vectors binary"), "index").repartition(many)
+    index = work.write(dealt(vectors, many, True), "index")
     # the queries come to the driver batch by batch, never as a whole
-    asked = work.write(pick(queries).mapInArrow(_blocks(width), "ids binary, vectors binary").select(F.monotonically_increasing_id().alias("k"), "ids", "vectors"), "queries")
+    asked = work.write(dealt(queries, max(1, -(-many // 50)), False).select(F.monotonically_increasing_id().alias("k"), "ids", "vectors"), "queries")
     batches, size = [[]], 0
     for r in asked.select("k", F.length("vectors").alias("n")).orderBy("k").toLocalIterator():
         if batches[-1] and size + r["n"] > BATCH_BYTES:
