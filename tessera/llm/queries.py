@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import read
+from .url_filter import RULES
 
 
 def vocabulary(name: str) -> str:
@@ -67,9 +68,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``spark.tessera.token.cache`` may name a folder of counts to join with and append to; without it, the cache is new."""
     from .token_counts import token_counts
 
-    return token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).drop("digest")
+    return token_counts(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), spark.conf.get("spark.tessera.token.cache", None)).drop("digest")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPANS = "unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word"
 
-#: The method of the others (a trained model, a tokenizer, a search that may miss, an iteration) is not to be had in SQL.
+_RULES = ", ".join("('{}', '{}', '{}', '{}')".format(verdict, rule, *rule.replace("/", " /", 1).split(" ")) for verdict, rule in RULES)
+#: The host without user name, port and final dot.
+_GRAPH = r"regexp_replace(regexp_replace(regexp_replace({}, '^.*@', ''), ':[0-9]*$', ''), '\.$', '')"
+
+#: The method of the others (a trained model, a tokenizer, a search that may miss) is not to be had in SQL.
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -110,6 +116,21 @@ reach AS (SELECT c AS u, c AS v FROM class UNION SELECT reach.u, both_ways.v FRO
 component AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
 FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN class USING (name) LEFT JOIN component ON component.u = class.c""",
+    "op8_url_filter": rf"""
+WITH RECURSIVE rules(verdict, rule, name, start) AS (VALUES {_RULES}),
+after AS (SELECT row_number() OVER () AS r, page_id, html, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+split AS (SELECT r, page_id, html, regexp_extract(rest, '^[^/?#]*') AS name, rest FROM after),
+place AS (SELECT r, page_id, html, translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(name) + 1), '^[^?#]*') AS path FROM split),
+fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM place JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY r),
+page AS (SELECT place.*, rule, verdict, {_GRAPH.format('host')} AS graph FROM place LEFT JOIN fits USING (r)),
+share AS (SELECT graph, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM page WHERE graph <> '' GROUP BY graph),
+seed AS (SELECT 'trust' AS kind, graph AS host, trust AS score FROM share UNION ALL SELECT 'distrust', graph, distrust FROM share),
+target AS (SELECT graph AS host, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^<>]*?\s)??href\s*=\s*["\x27]?\s*(?:https?:)?//([^/?#"\x27\s<>]+)', 1)) AS name FROM page WHERE graph <> ''),
+link AS (SELECT host, target, count(*) AS n FROM (SELECT host, {_GRAPH.format("translate(name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS target FROM target) WHERE target <> '' AND host <> target GROUP BY ALL),
+arc AS (SELECT 'trust' AS kind, host, target, n / sum(n) OVER (PARTITION BY host) AS weight FROM link UNION ALL SELECT 'distrust', target, host, n / sum(n) OVER (PARTITION BY target) FROM link),
+walk AS (SELECT 0 AS step, kind, host, score FROM seed WHERE score > 0 UNION ALL SELECT step + 1, walk.kind, target, sum(0.85 * score * weight) FROM walk JOIN arc ON walk.kind = arc.kind AND walk.host = arc.host WHERE step < 100 GROUP BY step, walk.kind, target),
+total AS (SELECT host, sum(CASE WHEN kind = 'trust' THEN score ELSE -score END) AS net FROM walk GROUP BY host)
+SELECT page_id, page.host, path, rule, coalesce(verdict, CASE WHEN net < -0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM page LEFT JOIN total ON total.host = page.graph""",
     "op10_suffix_dedup": """
 WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n_bytes FROM documents),
 stretch AS (SELECT doc_id, k, substr(h, 2 * k + 1, 1198) AS part FROM (SELECT doc_id, h, unnest(range(0, n_bytes - 99, 500)) AS k FROM d)),
