@@ -1,10 +1,13 @@
 """Token counts with a digest cache.
 
-Every text is reduced to a digest; a cache table maps (tokenizer digest, text digest) to a token count. Only digests that
-the cache lacks are encoded, one text for each, and their counts are appended to the cache.
+Every text is normalised and reduced to a digest; a cache table maps (tokenizer digest, text digest) to a token count. Only
+digests that the cache lacks are encoded, one text for each, and their counts are appended to the cache. Normalising makes null
+empty and, for a tokenizer that collapses blanks, does so first, so that texts which differ in blanks only share a count.
 
-Plan: one narrow aggregate picks a row for each missing digest, its text comes by a hash join on (digest, id), so a text with
-a third of all rows is spread by id and encoded once. Only digests and counts move besides.
+Plan: the rows' ids, sizes and digests are written once, without texts. One narrow aggregate picks a row for each missing
+digest; its text comes by a hash join on (digest, id), so a text with a third of all rows is spread by id and encoded once.
+Digests that hold at least one of ``HOT`` parts of the rows, of which there are ``HOT`` at most, meet their counts by a
+broadcast; so no digest brings more than that part of the rows to one task of the other join.
 
 Defined results: null and empty texts count as empty (0 tokens); rows with equal texts share a count; repeated rows each
 appear; other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -22,6 +25,25 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Workspace
 
 
+#: Parts of the rows from which on a digest counts as hot, and so a bound of the hot digests.
+HOT = 1024
+
+
+def _collapses(name: str, model: bytes) -> bool:
+    """Whether blanks at either end, and all but one of a run of them, make no difference to the tokenizer.
+
+    A sentencepiece model says so; it has no piece of several blanks, which would count runs of them.
+    """
+    if not name.endswith(".model"):
+        return False
+    import sentencepiece
+
+    piece = sentencepiece.SentencePieceProcessor(model_proto=model)
+    blanks = any(p.count("\u2581") > 1 or "  " in p for p in (piece.id_to_piece(k) for k in range(piece.get_piece_size())))
+    same = all(piece.encode(f"{' ' * a}x{' ' * n}y{' ' * b}") == piece.encode("x y") for a in (0, 1, 3) for n in (1, 2, 5, 40) for b in (0, 1, 3))
+    return same and not blanks and piece.encode(" ") == piece.encode("")
+
+
 def _encoder(name: str, model: bytes):
     """A function from a list of texts to their token counts, without any added tokens, truncation or padding."""
     if name.endswith(".model"):
@@ -73,23 +95,27 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     model = Path(tokenizer_path).read_bytes()
     version = hashlib.sha256(model).hexdigest()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    known = _stored(spark, cache, version)
-    missing = rows.groupBy("digest").agg(F.min("id").alias("first"))
-    if known is not None:
-        missing = missing.join(known, "digest", "left_anti")
-    chosen = rows.join(missing.select(F.col("digest").alias("d"), "first").hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")))
+    normal = F.trim(F.regexp_replace(text, " {2,}", " ")) if _collapses(tokenizer_path, model) else text
+    digest = F.unhex(F.sha2(normal, 256))
+    keys = work.write(docs.select(F.col(id_col).alias("id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("digest")), "keys")
+    held = work.write(keys.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "digests")
+    missing = held.join(_stored(spark, cache, version), "digest", "left_anti").select(F.col("digest").alias("d"), "first")
+    rows = docs.select(F.col(id_col).alias("id"), normal.alias("text"), digest.alias("digest"))
+    chosen = rows.join(missing.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("first")))
     encoded = chosen.select("digest", "text").mapInArrow(_counted(tokenizer_path, model), "digest binary, n_tokens long")
-    encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
+    encoded.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     known = _stored(spark, cache, version)
-    keys = docs.select(F.col(id_col).alias(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    return keys.join(known, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    hot = work.write(held.where(F.col("n") * HOT >= total).join(known, "digest").select(F.col("digest").alias("d"), F.col("n_tokens").alias("hot")), "hot")
+    keys = work.write(keys.join(F.broadcast(hot), F.col("digest") == F.col("d"), "left").select("id", "n_bytes", "digest", "hot"), "marked")
+    counted = keys.where("hot is not null").select("id", "n_bytes", F.col("hot").alias("n_tokens"), "digest").union(keys.where("hot is null").join(known, "digest").select("id", "n_bytes", "n_tokens", "digest"))
+    return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "digest")
 
 
-def _stored(spark, cache: str, version: str) -> DataFrame | None:
-    """The counts that the cache holds for a tokenizer, one row for each digest; None without a cache."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
+def _stored(spark, cache: str, version: str) -> DataFrame:
+    """The counts that the cache holds for a tokenizer, one row for each digest; the folder of another is not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{cache}/tokenizer={version}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    table = spark.read.schema("digest binary, n_tokens long, tokenizer string").parquet(cache)
-    return table.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        return spark.createDataFrame([], "digest binary, n_tokens long")
+    table = spark.read.schema("digest binary, n_tokens long").parquet(path.toString())
+    return table.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
