@@ -14,6 +14,7 @@ taking the remainder; repeated rows are packed each; other columns are ignored;
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import zlib
 from array import array
@@ -29,8 +30,8 @@ from .common import Workspace
 
 #: Distinct words of each of two generations that a worker keeps the ids of; a full generation replaces the older one.
 KEPT_WORDS = 800_000
-#: By tokenizer: what this worker process has made so far, for its later tasks.
-_MADE: dict[int, WordIds] = {}
+#: By the tokenizer's digest: what this worker process has made last, for its later tasks; of one tokenizer only.
+_MADE: dict[str, WordIds] = {}
 
 
 class _Known(dict):
@@ -104,9 +105,12 @@ def _pieces(model: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, seen, key = TaskContext.get().partitionId(), defaultdict(int), hash(model)
+        task, seen, made = TaskContext.get().partitionId(), defaultdict(int), hashlib.sha256(model.encode()).hexdigest()
         for batch in batches:
-            ids = _MADE.get(key) or _MADE.setdefault(key, WordIds(model))
+            if made not in _MADE:
+                _MADE.clear()
+                _MADE[made] = WordIds(model)
+            ids = _MADE[made]
             keys, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
             while at < len(keys):
                 size, till, held = 0, at, []

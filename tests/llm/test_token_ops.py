@@ -47,15 +47,47 @@ def test_cache_holds_each_text_once_and_is_reused(spark, tmp_path):
     cache = f"file://{tmp_path}/cache"
     df = awkward(spark)
     token_counts(df, PIECES, cache).collect()
-    texts = {r["text"] or "" for r in df.collect()}
+    texts = {r["text"] or "" for r in df.collect()}  # this tokenizer counts blanks
     assert spark.read.parquet(cache).count() == len(texts)
-    spark.read.parquet(cache).count()
     token_counts(df.unionByName(df), PIECES, cache).collect()
     assert spark.read.parquet(cache).count() == len(texts)  # nothing new was encoded
     token_counts(df, BYTES, cache).collect()
     assert spark.read.parquet(cache).count() == 2 * len(texts)  # another tokenizer has counts of its own
 
 
+def test_query_joins_the_counts_of_a_cache(spark, piece, tmp_path):
+    spark.conf.set("spark.tessera.token.cache", f"file://{tmp_path}/cache")
+    try:
+        first = sorted(map(repr, queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect()))
+        parts = lambda: sum(1 for _ in tmp_path.rglob("part-*"))
+        table = spark.read.parquet(f"file://{tmp_path}/cache")
+        assert table.count() == len({r["text"] or "" for r in data("documents")})
+        # a stored count is what the query returns; it encodes nothing twice
+        files = parts()
+        assert sorted(map(repr, queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect())) == first
+        assert sum(r.num_rows for r in map(__import__("pyarrow.parquet").parquet.read_table, tmp_path.rglob("part-*.parquet"))) == len({r["text"] or "" for r in data("documents")})
+        assert parts() >= files
+    finally:
+        spark.conf.unset("spark.tessera.token.cache")
+
+
+def test_texts_that_differ_in_blanks_share_a_count_where_blanks_collapse(spark, piece, tmp_path, monkeypatch):
+    from tessera.llm import token_counts as module
+
+    assert not module._collapses(PIECES, open(PIECES, "rb").read()) and not module._collapses(BYTES, b"")
+    monkeypatch.setattr(module, "_collapses", lambda name, model: True)
+    df = spark.createDataFrame([(1, "two words"), (2, "  two   words "), (3, None), (4, " ")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts(df, PIECES, f"file://{tmp_path}/c").collect()}
+    n = len(piece.encode("two words"))
+    assert got == {1: (9, n), 2: (14, n), 3: (0, 0), 4: (1, 0)} and spark.read.parquet(f"file://{tmp_path}/c").count() == 2
+
+
+def test_hot_texts(spark, piece):
+    df = spark.range(6000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a very common text', concat('text ', id)) AS text")
+    got = sorted([tuple(r)[:4] for r in token_counts(df, PIECES).collect()], key=repr)
+    assert got == expected_counts([(r["doc_id"], r["text"]) for r in df.collect()], piece)
+
+
 def check_packing(result, docs, byte_level, capacity=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in result:
@@ -103,6 +135,32 @@ def test_plan_uses_each_piece_once(seed):
     assert (used == counts).all()
 
 
+def test_packing_in_small_batches_with_two_tokenizers(spark, byte_level):
+    """A worker that meets both tokenizers and the same ids again keeps them apart, and one encoder at most."""
+    import json
+
+    df = awkward(spark)
+    docs = [(r["doc_id"], r["text"]) for r in df.collect()]
+    other = json.loads(open(BYTES).read())
+    other["added_tokens"] = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        import tempfile
+
+        from tokenizers import Tokenizer
+
+        with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+            json.dump(other, f)
+            f.flush()
+            plain = Tokenizer.from_file(f.name)
+            for _ in range(2):
+                check_packing(packing.pack(df.coalesce(1), BYTES).collect(), docs, byte_level)
+                check_packing(packing.pack(df.coalesce(1), f.name).collect(), docs, plain)
+        assert byte_level.encode("<|endoftext|>").ids != plain.encode("<|endoftext|>").ids
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_packing_makes_one_encoder_for_all_batches(monkeypatch):
     from pathlib import Path
     from types import SimpleNamespace
