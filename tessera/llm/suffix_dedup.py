@@ -9,12 +9,12 @@ its own. All windows of that length are judged, but few are ever compared:
 2. Cells of equal content are repeated as a whole, but for the first. Cells that share only the minimiser with others (edges
    of a passage, edited copies) are left.
 3. The bytes of those are fetched and dealt out by a longer string that their windows hold. In each such group the windows'
-   suffixes, cut at ``length``, are put in suffix order; a suffix has an earlier factor of that length when its previous or
-   next smaller position in that order is inside the run of suffixes that agree in ``length`` bytes (longest previous factor
-   at least ``length``).
+   suffixes, cut at ``length``, are put in suffix order, with the common prefixes of neighbours. The previous and the next
+   smaller position in that order give each suffix its longest previous factor; a window goes when that has ``length`` bytes.
 
 Equal cells meet in a batch before they are shuffled, so a passage that a third of all documents holds costs a row for each
-batch. Windows never cross documents. Texts move twice: those with open cells, and those that lose bytes.
+batch. The cells of a minimiser are judged in sorted order, one held at a time. Windows never cross documents. Texts move twice:
+those with open cells, and those that lose bytes; a bitmap of bounded size keeps the others from the joins.
 
 Defined results: null and empty texts have no bytes; texts under ``length`` bytes lose none; rows that repeat an id with an
 equal text are the same document and judged alike, while rows of one id with different texts are ordered by position only; a
@@ -30,13 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, chunks, mix, prefix_hashes, span_hashes
+from .common import Workspace, chunks, marked_by, mix, possible, prefix_hashes, span_hashes
 
 GRAM = 44
 #: Bytes left of the minimiser by which step 3 deals out windows that hold them; the others hold more bytes right of it.
 LEFT = 28
-#: Documents whose ids may be broadcast to pick their texts; beyond it, they are shuffled.
-BROADCAST_IDS = 400_000
 #: Documents longer than this are taken in parts that overlap by a window.
 PART = 1 << 23
 NULL_ID = -(1 << 63)
@@ -158,27 +156,38 @@ def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[li
 
 
 def _judged(length: int):
-    """Sorted by minimiser: repeated cells become spans, first cells of minimisers with several contents stay open."""
+    """Sorted by minimiser, content and position: repeated cells become spans, first cells of minimisers with several contents stay open.
+
+    From one batch to the next, only the first cell of the last content is held.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _grouped(batches, 200_000):
-            m, c, doc, low, high, place = (np.asarray(block.column(k)) for k in range(6))
-            known = place < 0
-            yield _batch(m[known], c[known], doc[known], low[known], high[known], place[known])
-            m, c, doc, low, high, place = (x[~known] for x in (m, c, doc, low, high, place))
-            order, later = not_first([doc, low], [m, c])
-            gone = order[later]
-            d, start, end = _spans(doc[gone], low[gone], high[gone] + length)
+        first, told = None, False  # the first cell of the content read last, and whether it has been yielded
+        for batch in batches:
+            rows = [np.asarray(batch.column(k)) for k in range(6)]
+            known = rows[5] < 0
+            yield _batch(*(x[known] for x in rows))
+            rows = [x[~known] for x in rows] if first is None else [np.concatenate([f, x[~known]]) for f, x in zip(first, rows, strict=True)]
+            m, c, doc, low, high, _ = rows
+            if not len(m):
+                continue
+            new_m, new = np.ones(len(m), bool), np.ones(len(m), bool)
+            new_m[1:] = m[1:] != m[:-1]
+            new[1:] = new_m[1:] | (c[1:] != c[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(m)), 0))
+            later = (doc != doc[head]) | (low != low[head])  # not so for repeated rows of a document
+            d, start, end = _spans(doc[later], low[later], high[later] + length)
             yield _batch(np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), d, start, end, np.full(len(d), -1))
-            left = order[~later]  # by minimiser, then content
-            other = m[left][1:] == m[left][:-1]
-            other &= c[left][1:] != c[left][:-1]
-            # every row of a minimiser that has two contents
-            group = np.concatenate([[0], np.cumsum(m[left][1:] != m[left][:-1])]) if len(left) else left
-            several = np.zeros(group[-1] + 1 if len(left) else 0, bool)
-            several[group[1:][other] if len(left) else group] = True
-            left = left[several[group]] if len(left) else left
-            yield _batch(*(x[left] for x in (m, c, doc, low, high, place)))
+            group = np.cumsum(new_m) - 1
+            several = np.zeros(group[-1] + 1, bool)
+            several[group[new & ~new_m]] = True
+            if first is not None and told:
+                several[0] = True
+            keep = new & several[group]
+            if first is not None and told:
+                keep[0] = False
+            yield _batch(*(x[keep] for x in rows))
+            told, first = bool(several[-1]), [x[head[-1] : head[-1] + 1] for x in rows]
 
     return run
 
@@ -207,23 +216,47 @@ def _windows(length: int):
     return run
 
 
-def previous_factors(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For suffixes at ``starts``, in order of their position: whether the longest previous factor has at least ``length`` bytes.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts``, cut at ``length`` bytes; and how many bytes each shares with the one before it."""
+    cut = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts]) if len(starts) else np.zeros((0, length), np.uint8)
+    order = np.argsort(cut.view(f"S{length}").ravel(), kind="stable")  # of one width, so compared byte by byte
+    shared = np.zeros(len(order), np.int64)
+    for at in range(1, len(order), 1 << 16):
+        to = min(len(order), at + (1 << 16))
+        apart = cut[order[at:to]] != cut[order[at - 1 : to - 1]]
+        shared[at:to] = np.where(apart.any(1), apart.argmax(1), length)
+    return order, shared
+
+
+def _smaller(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each place, the bytes shared with the nearest smaller place before it in the order; 0 without one.
 
-    The suffixes are sorted by their first ``length`` bytes, ties by position. Between two suffixes of one run the common
-    prefix is ``length`` or more, across runs it is less. So the previous smaller position of a run's later members is the
-    member before it, that of the first lies outside the run, and the next smaller position of any lies outside.
+    Everything between a candidate and its suffix is larger than the suffix, so a candidate that is larger too can be replaced
+    by its own candidate; all do so at once, until none is left.
     """
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    flags = np.zeros(len(starts), bool)
-    if len(starts):
-        suffixes = np.ascontiguousarray(view[starts]).view(f"S{length}").ravel()
-        order = np.argsort(suffixes, kind="stable")
-        run = suffixes[order]
-        previous_smaller_in_run = np.zeros(len(order), bool)
-        previous_smaller_in_run[1:] = run[1:] == run[:-1]
-        flags[order] = previous_smaller_in_run
-    return flags
+    n = len(place)
+    candidate, low = np.arange(n) - 1, shared.copy()
+    todo = np.arange(n)
+    while len(todo):
+        todo = todo[candidate[todo] >= 0]
+        todo = todo[place[candidate[todo]] >= place[todo]]
+        through = candidate[todo]
+        new, least = candidate[through], np.minimum(low[todo], low[through])
+        candidate[todo], low[todo] = new, np.where(new < 0, 0, least)
+    return np.where(candidate < 0, 0, low)
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """For the suffix at each of ``starts``: the most bytes, up to ``length``, that it shares with one of a smaller ``place``.
+
+    The best is the previous or the next smaller place in suffix order, as what lies beyond shares no more.
+    """
+    order, shared = suffix_order(data, starts, length)
+    inside = place[order]
+    after = np.concatenate([shared[1:], [0]]) if len(shared) else shared
+    out = np.zeros(len(starts), np.int64)
+    out[order] = np.maximum(_smaller(inside, shared), _smaller(inside[::-1], after[::-1])[::-1])
+    return out
 
 
 def _factored(length: int):
@@ -249,7 +282,10 @@ def _factored(length: int):
             owner = np.repeat(np.arange(len(raw)), number)
             k = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
             # windows of different keys are never equal: the key's string and its place in the window differ
-            flags = previous_factors(np.frombuffer(b"".join(raw), np.uint8), begin[owner] + k, length)
+            at = low[order][owner] + k
+            place = np.empty(len(owner), np.int64)
+            place[np.lexsort((at, doc[order][owner]))] = np.arange(len(owner))
+            flags = longest_previous_factors(np.frombuffer(b"".join(raw), np.uint8), begin[owner] + k, place, length) >= length
             owner, start = order[owner[flags]], (k + low[order][owner])[flags]
             spans = [_spans(doc[owner], start, start + length)]
         d, start, end = spans[0]
@@ -293,28 +329,16 @@ def deduplicate(docs: DataFrame, length: int = 100) -> DataFrame:
         raise ValueError(f"strings of {GRAM + LEFT + 1} bytes or more can be found")
     work = Workspace(docs.sparkSession, "suffix-dedup")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = rows.mapInArrow(_cells(length), CELLS).repartition("minimiser").sortWithinPartitions("minimiser")
+    found = rows.mapInArrow(_cells(length), CELLS).repartition("minimiser").sortWithinPartitions("minimiser", "content", "doc", "low")
     judged = work.write(found.mapInArrow(_judged(length), CELLS), "cells")
-    work.free()
     opened = work.write(judged.where("place >= 0").groupBy("doc").agg(F.collect_list(F.struct("low", "high", "place")).alias("cells")), "open")
-    windows = _with(rows, opened).mapInArrow(_windows(length), "key long, doc long, low long, bytes binary").repartition("key").sortWithinPartitions("key")
+    texts = possible(rows, F.col("doc"), opened, "doc").join(opened.hint("shuffle_hash"), "doc").select("doc", "text", "cells")
+    windows = texts.mapInArrow(_windows(length), "key long, doc long, low long, bytes binary").repartition("key").sortWithinPartitions("key")
     factors = windows.mapInArrow(_factored(length), "doc long, low long, high long")
     spans = judged.where("place < 0").select("doc", "low", "high").union(factors)
     spans = work.write(spans.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans")), "spans")
-    work.free()
     kinds = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
-    changed = _with(rows, spans).mapInArrow(_kept, kinds)
-    same = rows.join(F.broadcast(ids) if _few(ids := spans.select("doc")) else ids, "doc", "left_anti").mapInArrow(_kept, kinds)
-    out = changed.union(same)
+    marked = marked_by(rows, F.col("doc"), spans, "doc", "maybe")
+    changed = marked.where("maybe").join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans").mapInArrow(_kept, kinds)
+    out = changed.union(marked.where("not maybe").select("doc", "text").mapInArrow(_kept, kinds))
     return out.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
-
-
-def _few(ids: DataFrame) -> bool:
-    return ids.count() <= BROADCAST_IDS
-
-
-def _with(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, text, list) for the documents that ``found`` has; their texts alone are shuffled when their ids are few enough to broadcast."""
-    if _few(found):
-        rows = rows.join(F.broadcast(found.select("doc")), "doc", "left_semi")
-    return rows.join(found.hint("shuffle_hash"), "doc").select("doc", "text", found.columns[1])
