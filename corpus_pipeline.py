@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each reading what the one before it kept."""
+"""A training corpus from raw documents: five stages, each reading what the one before it kept.
+
+Defined results: a null text is an empty one to every stage and stays null until packing. Rows are judged each by its own text,
+whatever its id: a document goes if its score is toxic; of each group of near copies the row of the smallest id stays, of equal
+rows one, and a row without an id only in a group without any; contaminated rows go; personal data is replaced; what is left is
+packed. Repeated ids with different texts stay apart. Extra columns stay until packing, whatever their names. An empty table of
+documents gives no rows; without usable labels no row is toxic, and an empty benchmark contaminates none.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return surrogates.replace(docs).drop("n_entities")
+    return surrogates.replace(docs, count_col=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
