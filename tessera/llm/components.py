@@ -18,18 +18,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return out.where(F.col("u") != F.col("v"))
+
+
+def _stars_only(edges: DataFrame) -> bool:
+    """Whether each larger end has one link and is nobody's smaller end."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
     """From links (u long, v long) to (node, component): a component is named by its smallest node; nodes without links are left out."""
     held = work.write(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
-    while True:
-        now = held.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if now == before:
-            return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
-        new = work.write(_star(_star(held, True), False), "stars")
+    while not _stars_only(held):
+        new = work.write(_star(_star(held, True), False).distinct(), "stars")
         work.drop(held)
         held = new
+    return held.select(F.col("u").alias("node"), F.col("v").alias("component")).union(held.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,11 +8,14 @@ that a shared rare token or a shared pair within one class is certain, and pairs
 from a sketch of counts over all documents; they bear on speed only, never on the result.
 
 Large groups of near copies are joined first, by stars around the leaders of min-hash bands; every link is verified. After
-that, only nodes of different components that share a signature are verified, so a group of any size costs its rows, not its
-pairs. Links inside a component change nothing and are not looked for.
+that, only nodes of different components that share a signature are compared, so a group of any size costs its rows, not its
+pairs. How many signatures a pair shares bounds its overlap, which drops most pairs before any set is looked at; odd sketches
+drop most of the rest. Links inside a component change nothing and are not looked for.
 
-Tables without texts are shuffled by node or signature; hot keys meet partial aggregates or joins that AQE can split. Texts
-move only for nodes with candidates.
+One plan holds at every size. A signature that a single component holds is dropped after one shuffle, in which each batch
+sends a component's signature once; the nodes of a component are fetched only where its signature is shared. Texts move only
+for nodes with candidates, picked by a hash bitmap of bounded size, and a text is sent once for each ``TOGETHER`` of the
+pairs that it leads. No step gathers a group: tasks read their rows in order and hold one set or one row of a group.
 
 Defined results: null, empty and blank texts have empty sets and stand alone; fewer words than a shingle make one shingle of
 them all; repeated rows share a node; a null id never names a component that has another; an empty table gives an empty result.
@@ -28,24 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, chunks, mix, prefix_hashes, span_hashes
+from .common import Workspace, chunks, mix, possible, prefix_hashes, span_hashes
 from .components import components
 
 #: A to Z to small letters, on bytes.
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-SKETCH_BITS = 20
+#: Cells of the sketch of token counts, as powers of two: eight for each row, between these bounds.
+SKETCH_BITS, MOST_SKETCH_BITS = 20, 24
 HASHES, BAND = 24, 2
-SMALL_BINS, WIDE_BINS = 1024, 4096
-#: From this size on, sets have an odd sketch of WIDE_BINS ranges too; the small one says little of larger sets.
-WIDE_FROM = 1000
+#: Hash ranges of an odd sketch: as many as this, or two for each token of the set.
+LEAST_BINS = 1024
 #: Set sizes (from, to) of a family of combinations, and its number of frequent classes. Families overlap by the size ratio
 #: that a link allows; sets of up to SMALL tokens are also indexed by single tokens.
 FAMILIES = [(9, 200, 8), (170, 2000, 32), (1700, 30_000, 256), (25_500, 1 << 62, 4096)]
 SMALL = 12
-#: Nodes whose ids may be broadcast to fetch their texts; beyond it, they are shuffled.
-BROADCAST_NODES = 400_000
-#: Signatures of several components that may be broadcast to find their rows again; beyond it, all rows are shuffled once more.
-BROADCAST_SIGNATURES = 1_000_000
+#: Pairs with the same leader that one task gets together, with one copy of the leader's text.
+TOGETHER = 256
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -83,26 +84,27 @@ def nodes_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-SCANNED = "doc_id long, key long, node long, n long, sketch array<long>, small array<long>, wide array<long>, bins binary, counts binary"
+SCANNED = "doc_id long, key long, node long, n long, sketch array<long>, bins binary, counts binary"
 
 
-def bins_of(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray | None], list[bytes]]:
+def bins_of(h: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """For each set, which hash ranges hold an odd number of its tokens, as bits (an odd sketch).
 
-    Where two sets disagree, a token of only one of them lies in the range. Of SMALL_BINS and, for large sets, of WIDE_BINS
-    ranges, 64 to an integer; and of at least two ranges for each token, a power of two. Halves of the longer of two, added
-    bit by bit, are those of the shorter.
+    Where two sets disagree, a token of only one of them lies in the range. There are at least two ranges for each token, a
+    power of two. Halves of the longer of two, added bit by bit, are those of the shorter.
     """
-    small, wide, large, at = np.zeros((len(sizes), SMALL_BINS // 64), np.int64), [], [], 0
-    folded = lambda held, size: np.packbits(np.bitwise_xor.reduce(held.reshape(-1, size), axis=0)).view(np.int64)
-    for k, n in enumerate(sizes.tolist()):
-        bins = max(WIDE_BINS if n >= WIDE_FROM else SMALL_BINS, 1 << (2 * n - 1).bit_length() if n else 0)
+    out, at = [], 0
+    for n in sizes.tolist():
+        bins = max(LEAST_BINS, 1 << (2 * n - 1).bit_length() if n else 0)
         held = np.bincount(((h[at : at + n] >> np.uint64(8)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1
-        large.append(np.packbits(held).tobytes())
-        small[k] = folded(held, SMALL_BINS)
-        wide.append(folded(held, WIDE_BINS) if n >= WIDE_FROM else None)
+        out.append(np.packbits(held).tobytes())
         at += n
-    return small, wide, large
+    return out
+
+
+def folded(bins: bytes) -> np.ndarray:
+    """The odd sketch of LEAST_BINS ranges, as integers."""
+    return np.bitwise_xor.reduce(np.frombuffer(bins, np.int64).reshape(-1, LEAST_BINS // 64), axis=0)
 
 
 def least_apart(a: bytes, b: bytes) -> int:
@@ -114,11 +116,14 @@ def least_apart(a: bytes, b: bytes) -> int:
 
 
 def _likely(percent: int):
+    """(u, v, n, bins of u, m, bins of v) to the pairs that odd sketches allow to link, and their least difference."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, m, b = (batch.column(c).to_pylist() for c in (2, 3, 4, 5))
-            keep = [(100 + percent) * least_apart(y, z) <= (100 - percent) * (x + w) for x, y, w, z in zip(n, a, m, b, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            n, m = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            apart = np.array([least_apart(batch.column(3)[k].as_py(), batch.column(5)[k].as_py()) for k in range(batch.num_rows)], np.int64)
+            keep = (100 + percent) * apart <= (100 - percent) * (np.array(n, np.int64) + np.array(m, np.int64))
+            yield pa.record_batch([*batch.select([0, 1]).filter(pa.array(keep)).columns, pa.array(apart[keep])], ["u", "v", "apart"])
 
     return run
 
@@ -127,11 +132,14 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)), pa.array(rows.ravel()))
 
 
-def _scan(width: int):
+#: Cells of a task's counts that travel as one row; a cell counts this many nodes of a task at most.
+SLICE, FULL = 1 << 18, 65_535
+
+
+def _scan(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        names = ["doc_id", "key", "node", "n", "sketch", "small", "wide", "bins", "counts"]
+        counts, seen = np.zeros(1 << bits, np.uint16), set()
+        names = ["doc_id", "key", "node", "n", "sketch", "bins", "counts"]
         for batch in batches:
             for a, b, texts in chunks(batch, 1):
                 h, sizes = shingles(texts, width)
@@ -142,59 +150,77 @@ def _scan(width: int):
                     for k, seed in enumerate(_SEEDS):
                         sketch[some, k] = np.minimum.reduceat(h * seed, begin[some])
                 fresh = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
-                counts += np.bincount((h[np.repeat(fresh, sizes)] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-                small, wide, bins = bins_of(h, sizes)
-                yield pa.record_batch([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), _lists(small), pa.array(wide, pa.list_(pa.int64())), pa.array(bins, pa.binary()), pa.nulls(b - a, pa.binary())], names)
-        yield pa.record_batch([pa.array([x], t) for x, t in zip((None, None, None, -1, None, None, None, None, zlib.compress(counts.tobytes(), 1)), kinds, strict=True)], names)
+                cell, times = np.unique((h[np.repeat(fresh, sizes)] >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                counts[cell] = np.minimum(counts[cell] + times, FULL)
+                yield pa.record_batch([batch.column(0)[a:b], batch.column(2)[a:b], pa.array(node.view(np.int64)), pa.array(sizes), _lists(sketch.view(np.int64)), pa.array(bins_of(h, sizes), pa.binary()), pa.nulls(b - a, pa.binary())], names)
+        parts = counts.reshape(-1, SLICE)
+        none = lambda kind: pa.nulls(len(parts), kind)
+        yield pa.record_batch([none(pa.int64()), pa.array(np.arange(len(parts))), none(pa.int64()), pa.array(np.full(len(parts), -1, np.int64)), none(pa.list_(pa.int64())), none(pa.binary()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names)
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    """(slice, task counts), sorted by slice, to (slice, sums of its cells)."""
+    at, total = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([at], pa.int64()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["part", "sums"])
+
     for batch in batches:
-        for v in batch.column(0):
-            raw = zlib.decompress(v.as_py())
-            total += np.frombuffer(raw, np.uint32 if len(raw) == 4 << SKETCH_BITS else np.uint64)
-    yield pa.record_batch([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
-
-
-def frequent_tokens(scanned: DataFrame) -> bytes:
-    """One bit for each cell of the sketch: whether its count stands out. Task sketches are summed 32 by 32; the last is of fixed size."""
-    counts = scanned.where("n = -1").select("counts")
-    left = counts.count()
-    while left > 1:
-        left = -(-left // 32)
-        counts = counts.repartition(left).mapInArrow(_summed, "counts binary")
-    row = counts.first()
-    if row is None:
-        return np.zeros(1 << SKETCH_BITS >> 3, np.uint8).tobytes()
-    raw = zlib.decompress(row["counts"])
-    total = np.frombuffer(raw, np.uint32 if len(raw) == 4 << SKETCH_BITS else np.uint64)
+        for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != at:
+                if at is not None:
+                    yield row()
+                at, total = part, np.zeros(SLICE, np.uint64)
+            total += np.frombuffer(zlib.decompress(raw), np.uint16)
+    if at is not None:
+        yield row()
+
+
+def frequent_tokens(counts: DataFrame, bits: int) -> bytes:
+    """One bit for each cell of the sketch: whether its count stands out. ``counts``: (part, counts) of all tasks.
+
+    At most 64 rows come to the driver, which holds the sums of one sketch.
+    """
+    sums = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, "part long, sums binary")
+    total = np.zeros(1 << bits, np.uint64)
+    for r in sums.toLocalIterator():
+        total[r["part"] * SLICE : (r["part"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["sums"]), np.uint64)
     return np.packbits(total > 2 * total.mean() + 64).tobytes()
 
 
-def signatures(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The signatures of each set. ``frequent``: a bool for each cell of the sketch."""
+def signatures(h: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The signatures of each set, those of single tokens even, of pairs odd; and whether its prefix reaches a frequent token.
+
+    ``frequent``: a bit for each cell of the sketch, packed.
+    """
+    bits = (8 * len(frequent)).bit_length() - 1
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    common = frequent[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    cell = h >> np.uint64(64 - bits)
+    common = (frequent[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
     order = np.lexsort((h, common, owner))
     h, common = h[order], common[order]
     begin = np.cumsum(sizes) - sizes
-    out = []
-    for at, n in zip(begin.tolist(), sizes.tolist(), strict=True):
+    out, mixed = [], np.zeros(len(sizes), bool)
+    for k, (at, n) in enumerate(zip(begin.tolist(), sizes.tolist(), strict=True)):
         if not n:
             out.append(np.zeros(0, np.uint64))
             continue
-        p = n - -(-percent * n // 100) + 1
-        if n <= SMALL or not common[at + p - 1]:
-            found = [h[at : at + p]]
-            if n <= SMALL and n >= FAMILIES[0][0] and common[at + p - 1]:
-                found += _mixed(h[at : at + n], common[at : at + n], p, n)
-        else:
-            found = _mixed(h[at : at + n], common[at : at + n], p, n)
+        p = prefix(n, percent)
+        mixed[k] = common[at + p - 1]
+        found = []
+        if n <= SMALL or not mixed[k]:
+            found = [h[at : at + p] & ~np.uint64(1)]
+        if n >= FAMILIES[0][0] and mixed[k]:
+            found += _mixed(h[at : at + n], common[at : at + n], p, n)
         out.append(np.unique(np.concatenate(found)))
-    return out
+    return out, mixed
+
+
+def prefix(n: int, percent: int) -> int:
+    """Two linking sets share one of as many of their first tokens."""
+    return n - -(-percent * n // 100) + 1
 
 
 def _mixed(h: np.ndarray, common: np.ndarray, p: int, n: int) -> list[np.ndarray]:
@@ -202,58 +228,109 @@ def _mixed(h: np.ndarray, common: np.ndarray, p: int, n: int) -> list[np.ndarray
     for k, (low, high, classes) in enumerate(FAMILIES):
         if low <= n <= high:
             tokens, often = h[: p + classes], common[: p + classes]
-            found.append(tokens[~often])
+            found.append(tokens[~often] & ~np.uint64(1))
             tokens = tokens[often]
             kind = (mix(tokens) % np.uint64(classes)).astype(np.int64)
             order = np.lexsort((tokens, kind))
             tokens, kind = tokens[order], kind[order]
             for part in np.split(tokens, np.flatnonzero(np.diff(kind)) + 1):
                 i, j = np.triu_indices(len(part), 1)
-                found.append(mix(part[i] + mix(part[j] + np.uint64(k + 1))))
+                found.append(mix(part[i] + mix(part[j] + np.uint64(k + 1))) | np.uint64(1))
     return found
 
 
 def _signed(width: int, percent: int, bits: bytes):
+    """Texts to (node, n, signatures, small); for sets whose prefix reaches a frequent token, n is negative and small their least odd sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, seen = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool), set()
+        frequent, seen = np.frombuffer(bits, np.uint8), set()
         for batch in batches:
             for _, _, texts in chunks(batch, 0):
                 h, sizes = shingles(texts, width)
                 node, _ = nodes_of(h, sizes)
                 fresh = np.array([s > 0 and x not in seen and not seen.add(x) for x, s in zip(node.tolist(), sizes.tolist(), strict=True)], bool)
                 h, sizes, node = h[np.repeat(fresh, sizes)], sizes[fresh], node[fresh]
-                found = signatures(h, sizes, frequent, percent)
+                found, mixed = signatures(h, sizes, frequent, percent)
                 ends = np.cumsum([0, *(len(f) for f in found)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["node", "n", "signatures"])
+                bins = iter(bins_of(h[np.repeat(mixed, sizes)], sizes[mixed]))
+                small = [folded(next(bins)) if m else None for m in mixed]
+                yield pa.record_batch([pa.array(node.view(np.int64)), pa.array(np.where(mixed, -sizes, sizes)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(small, pa.list_(pa.int64()))], ["node", "n", "signatures", "small"])
 
     return run
 
 
+LIVE = "signature long, component long, n long"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, signatures, small, component) to (signature, component, n): of a component of several nodes (n null), each signature once."""
+    for batch in batches:
+        node, n, joined = np.asarray(batch.column(0)), np.asarray(batch.column(1)), np.asarray(batch.column(4).is_valid())
+        component = np.where(joined, np.asarray(batch.column(4).fill_null(0)), node)
+        flat, owner = np.asarray(batch.column(2).flatten()), np.repeat(np.arange(len(node)), np.asarray(batch.column(2).value_lengths()))
+        alone = ~joined[owner]
+        s, c = flat[~alone], component[owner[~alone]]
+        order = np.lexsort((c, s))
+        s, c = s[order], c[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
+        sizes = pa.array(np.concatenate([n[owner[alone]], np.zeros(new.sum(), np.int64)]), mask=np.concatenate([np.zeros(alone.sum(), bool), np.ones(new.sum(), bool)]))
+        yield pa.record_batch([pa.array(np.concatenate([flat[alone], s[new]])), pa.array(np.concatenate([component[owner[alone]], c[new]])), sizes], ["signature", "component", "n"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by signature and component: those of signatures that several components have, each once.
+
+    Only the last row is held from one batch to the next.
+    """
+    last, told = None, False  # the row read last, and whether it has been yielded
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([*([last] if last is not None else []), batch]).combine_chunks()
+        s, c = np.asarray(held.column(0)), np.asarray(held.column(1))
+        same = s[1:] == s[:-1]
+        new = np.ones(len(s), bool)
+        new[1:] = ~same | (c[1:] != c[:-1])
+        other = np.zeros(len(s), bool)  # rows with another component before or after them in their signature
+        other[1:] |= same & new[1:]
+        # a group has several components if any of its rows differs from the one before it
+        group = np.concatenate([[0], np.cumsum(~same)])
+        several = np.zeros(group[-1] + 1, bool)
+        several[group[other]] = True
+        if told:
+            several[0] = True
+        keep = new & several[group]
+        if last is not None and told:
+            keep[0] = False
+        yield held.filter(pa.array(keep)).combine_chunks().to_batches()[0] if keep.any() else batch.slice(0, 0)
+        told = bool(several[-1])
+        at = int(np.flatnonzero(new)[-1])  # the first row of the last component stands for it
+        last = held.slice(at, 1).combine_chunks().to_batches()[0]
+
+
 def _verified(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: dict[int, np.ndarray] = {}
-
-        def of(node: int, text: bytes) -> np.ndarray | None:
-            if node not in last:
-                h, sizes = shingles([text], width)
-                if int(nodes_of(h, sizes)[0].view(np.int64)[0]) != node:
-                    return None  # another text under the same id and hash, which says nothing of the node
-                if len(last) > 64:
-                    last.clear()
-                last[node] = h
-            return last[node]
+    """(leader, part, leaf, text) sorted so that a leader's own row (leaf null) comes first: the pairs that link."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for k, (x, y) in enumerate(zip(u, v, strict=True)):
-                a, b = (of(m, (batch.column(c)[k].as_py() or "").encode()) for m, c in ((x, 2), (y, 3)))
-                if a is not None and b is not None:
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        keep.append((x, y))
-            yield pa.record_batch([pa.array([k[0] for k in keep], pa.int64()), pa.array([k[1] for k in keep], pa.int64())], ["u", "v"])
+            u, v = [], []
+            for x, y, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if y is None and x == leader:
+                    continue
+                h, sizes = shingles([text.as_py().encode()], width)
+                if int(nodes_of(h, sizes)[0].view(np.int64)[0]) != (x if y is None else y):
+                    continue  # another text under the same id and hash, which says nothing of the node
+                if y is None:
+                    leader, own = x, h
+                elif x == leader:
+                    both = len(np.intersect1d(h, own, assume_unique=True))
+                    if 100 * both >= percent * (len(h) + len(own) - both):
+                        u.append(y)
+                        v.append(x)
+            yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
@@ -273,28 +350,25 @@ class Join:
     def __init__(self, docs: DataFrame, width: int, percent: int) -> None:
         self.docs, self.width, self.percent = docs.withColumn("key", text_key()), width, percent
         self.work = Workspace(docs.sparkSession, "jaccard-join")
-        self.scanned = self.work.write(self.docs.select("doc_id", "text", "key").mapInArrow(_scan(width), SCANNED), "scanned")
-        sets = self.scanned.where("n > 0")
+        self.bits = min(MOST_SKETCH_BITS, max(SKETCH_BITS, docs.count().bit_length() + 3))
+        scanned = self.work.write(self.docs.select("doc_id", "text", "key").mapInArrow(_scan(width, self.bits), SCANNED), "scanned")
         # rows of a node agree in n and sketches, so any will do; its text is that of one row
-        self.nodes = self.work.write(sets.groupBy("node").agg(least_row("doc_id").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"), F.max("wide").alias("wide"), F.max("bins").alias("bins")).select("node", "row.doc", "row.key", "n", "sketch", "small", "wide", "bins"), "nodes")
-        self.work.free()
+        nodes = scanned.where("n > 0").groupBy("node").agg(least_row("doc_id").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("bins").alias("bins"))
+        self.nodes = self.work.write(nodes.select("node", "row.doc", "row.key", "n", "sketch", "bins"), "nodes")
+        self.rows = self.work.write(scanned.where("n >= 0").select("doc_id", "key", "node", F.col("n").alias("n_shingles")), "rows")
+        self.frequent = frequent_tokens(scanned.where("n = -1").select(F.col("key").alias("part"), "counts"), self.bits)
+        self.work.drop(scanned)
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None
 
     def similar_sizes(self):
-        return (100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
-
-    def apart(self, words: int = SMALL_BINS // 64):
-        """A lower bound of the tokens in one of ``u`` and ``v`` only, from the first ``words`` integers of their odd sketches."""
-        return sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range(words)), F.lit(0))
-
-    def may_link(self, apart):
-        return (100 + self.percent) * apart <= (100 - self.percent) * (F.col("n") + F.col("m"))
+        return (100 * F.least(F.abs("n"), F.abs("m")) >= self.percent * F.greatest(F.abs("n"), F.abs("m"))) & (F.col("u") != F.col("v"))
 
-    def may_link_wide(self):
-        """By the wide odd sketches, where both sets have one; for pairs that the small ones leave."""
-        apart = F.aggregate(F.zip_with("wu", "wv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-        return F.col("wu").isNull() | F.col("wv").isNull() | self.may_link(apart)
+    def likely(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Of distinct pairs (u, v), those whose odd sketches allow a link; ``apart``: a lower bound of the tokens in one only."""
+        side = lambda k, n: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bins").alias(f"b{k}"))
+        pairs = pairs.select("u", "v").join(side("u", "n"), "u").join(side("v", "m"), "v")
+        return self.work.write(pairs.select("u", "v", "n", "bu", "m", "bv").mapInArrow(_likely(self.percent), "u long, v long, apart long"), name)
 
     def bands(self) -> DataFrame:
         """(node, n, band, shared): the min-hash bands that several nodes share; ``shared``: over the bands of a node, how many have each."""
@@ -303,7 +377,6 @@ class Join:
         bands = self.work.write(bands.join(sizes, "band"), "bands")
         out = self.work.write(bands.join(bands.groupBy("node").agg(F.sum("c").alias("shared")), "node").drop("c"), "bands")
         self.work.drop(bands)
-        self.work.free()
         return out
 
     def leaders(self, bands: DataFrame, picks: int) -> DataFrame:
@@ -323,65 +396,75 @@ class Join:
         led = bands.groupBy("band").agg(first["component"].alias("main"), F.array_distinct(F.array(*(F.struct(x["node"].alias("v"), x["n"].alias("m"), x["component"].alias("cv")) for x in (first, *others)))).alias("led"))
         rest = bands.select("band", F.col("node").alias("u"), "n", F.col("component").alias("cu"))
         pairs = rest.join(led, "band").where("cu != main").select("u", "n", "cu", F.inline("led")).where((F.col("cu") != F.col("cv")) & self.similar_sizes())
-        small = lambda k: self.nodes.select(F.col("node").alias(k), F.col("small").alias(f"s{k}"))
-        pairs = pairs.select("u", "n", "v", "m").distinct().join(small("u"), "u").join(small("v"), "v").withColumn("apart", self.apart())
-        return self.work.write(pairs.where(self.may_link(F.col("apart"))).select("u", "v", "apart"), "leaders")
+        return self.likely(pairs.select("u", "v").distinct(), "leaders")
 
     def verify(self, pairs: DataFrame) -> None:
-        """Adds those of the pairs (u, v) that link, and joins the components anew."""
-        side = lambda k, n: self.nodes.select(F.col("node").alias(k), F.col("n").alias(n), F.col("bins").alias(f"b{k}"))
-        pairs = pairs.select("u", "v").distinct().join(side("u", "n"), "u").join(side("v", "m"), "v")
-        pairs = self.work.write(pairs.select("u", "v", "n", "bu", "m", "bv").mapInArrow(_likely(self.percent), "u long, v long"), "pairs")
+        """Adds those of the distinct written pairs (u, v) that link, and joins the components anew.
+
+        Of a pair, the node with more pairs leads. A leader's pairs are dealt out by ``TOGETHER``, each deal with one copy of its text.
+        """
         if pairs.isEmpty():
             return
-        ids = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        wanted = self.work.write(ids.join(self.nodes.select("node", "doc", "key"), "node"), "wanted")
-        few = wanted.count() <= BROADCAST_NODES
-        same = self.docs["doc_id"].eqNullSafe(wanted["doc"]) & (self.docs["key"] == wanted["key"])
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, same).select("node", "text").where(F.col("text").isNotNull())
-        texts = texts.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows, and rows without ids, of the same text
-        held = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-        new = self.work.write(held.select("u", "v", "a", "b").mapInArrow(_verified(self.width, self.percent), "u long, v long"), "links")
+        pairs = pairs.select("u", "v")
+        degree = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+        both = pairs.join(degree.select(F.col("node").alias("u"), F.col("d").alias("du")), "u").join(degree.select(F.col("node").alias("v"), F.col("d").alias("dv")), "v")
+        leads = F.struct("du", "u") > F.struct("dv", "v")
+        led = both.select(F.when(leads, F.col("u")).otherwise(F.col("v")).alias("leader"), F.when(leads, F.col("v")).otherwise(F.col("u")).alias("leaf"), F.greatest("du", "dv").alias("d"))
+        led = self.work.write(led.select("leader", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("d") / TOGETHER)).alias("part"), "leaf"), "led")
+        uses = led.select(F.col("leaf").alias("node"), "leader", "part", "leaf").union(led.select(F.col("leader").alias("node"), "leader", "part", F.lit(None).cast("long").alias("leaf")).distinct())
+        uses = self.work.write(uses.join(self.nodes.select("node", "doc", "key"), "node").drop("node"), "uses")
+        texts = possible(self.docs.where("text is not null"), F.col("key"), uses.select(F.col("key").alias("wanted")), "wanted")
+        held = texts.join(uses, texts["doc_id"].eqNullSafe(uses["doc"]) & (texts["key"] == uses["key"])).select("leader", "part", "leaf", "text")
+        held = held.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("leaf").asc_nulls_first())
+        new = self.work.write(held.mapInArrow(_verified(self.width, self.percent), "u long, v long"), "links")
         self.links = new if self.links is None else self.links.union(new)
-        self.work.free()
         known = self.joined.select(F.col("node").alias("u"), F.col("component").alias("v")) if self.joined is not None else None
-        self.joined = components(new if known is None else new.union(known), self.work)
+        self.joined = self.work.write(components(new if known is None else new.union(known), self.work), "joined")
 
     def candidates(self) -> DataFrame:
-        """Pairs of nodes in different components that share a signature and whose sizes allow a link."""
-        bits = frequent_tokens(self.scanned)
-        signed = self.docs.select("text").mapInArrow(_signed(self.width, self.percent, bits), "node long, n long, signatures array<long>")
+        """Pairs of nodes in different components that share signatures, where sizes, the number of signatures and odd sketches allow a link."""
+        signed = self.docs.select("text").mapInArrow(_signed(self.width, self.percent, self.frequent), "node long, n long, signatures array<long>, small array<long>")
         if self.joined is not None:
             signed = signed.join(self.joined, "node", "left")
         else:
             signed = signed.withColumn("component", F.lit(None).cast("long"))
-        signed = self.work.write(signed.withColumn("component", F.coalesce("component", "node")), "signed")
-        self.work.free()
-        rows = signed.select(F.explode("signatures").alias("signature"), "node", "n", "component")
-        # signatures of the same nodes give the same pairs: one of them is enough. Sums of the two halves of
-        # its digests and the count name a set of nodes.
-        parts = {"least": F.min("component"), "most": F.max("component"), "c": F.count(F.lit(1)), "low": F.sum(F.col("node").bitwiseAND(0xFFFFFFFF)), "high": F.sum(F.shiftrightunsigned("node", 32))}
-        live = rows.groupBy("signature").agg(*(x.alias(k) for k, x in parts.items())).where("least < most").groupBy(*parts).agg(F.min("signature").alias("signature")).select("signature")
-        live = self.work.write(live, "shared")
-        self.work.free()  # all signatures were shuffled for it; their files must not stand beside those of the join
-        few = live.count() <= BROADCAST_SIGNATURES
-        rows = rows.join(F.broadcast(live) if few else live, "signature").distinct()
-        rows = self.work.write(rows.join(self.nodes.select("node", "small", "wide"), "node"), "live")
+        signed = self.work.write(signed, "signed")
+        spread = signed.mapInArrow(_spread, LIVE).repartition("signature").sortWithinPartitions("signature", "component")
+        live = self.work.write(spread.mapInArrow(_shared, LIVE), "shared")
+        # the nodes of components of several, where their signature is shared
+        inside = signed.where("component is not null").select(F.explode("signatures").alias("signature"), "component", "node", "n").distinct()
+        alone = live.where("n is not null").select("signature", F.col("component").alias("node"), "n", "component")
+        rows = alone.union(live.where("n is null").select("signature", "component").join(inside, ["signature", "component"]).select("signature", "node", "n", "component"))
+        small = signed.where("small is not null").select("node", "small").dropDuplicates(["node"])
+        rows = self.work.write(rows.join(small, "node", "left"), "live")
         self.work.drop(signed)
-        self.work.free()
-        left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}"), F.col("wide").alias(f"w{k}")) for k, n in (("u", "n"), ("v", "m")))
-        # the bounds are inside the join, so that a large group leaves few pairs; a few of the ranges settle most of them
-        fits = (F.col("cu") < F.col("cv")) & self.similar_sizes() & self.may_link(self.apart(4)) & self.may_link(self.apart()) & self.may_link_wide()
+        left, right = (rows.select("signature", F.col("node").alias(k), F.col("n").alias(n), F.col("component").alias(f"c{k}"), F.col("small").alias(f"s{k}")) for k, n in (("u", "n"), ("v", "m")))
         left, right = left.alias("l"), right.alias("r")
-        return left.join(right, (F.col("l.signature") == F.col("r.signature")) & fits).select("u", "v")
+        # sets that reach frequent tokens share signatures with many; their sketches are compared inside the join, so that a large group leaves few pairs
+        apart = sum((F.bit_count(F.col("su")[k].bitwiseXOR(F.col("sv")[k])) for k in range(LEAST_BINS // 64)), F.lit(0))
+        may_link = F.col("su").isNull() | F.col("sv").isNull() | ((100 + self.percent) * apart <= (100 - self.percent) * (F.abs("n") + F.abs("m")))
+        met = left.join(right, (F.col("l.signature") == F.col("r.signature")) & (F.col("cu") < F.col("cv")) & self.similar_sizes() & may_link)
+        pair = F.col("l.signature").bitwiseAND(1) == 1
+        met = met.groupBy("u", "v").agg(F.min("n").alias("n"), F.min("m").alias("m"), F.count(F.lit(1)).alias("shared"), F.max(pair).alias("pair"))
+        return self.likely(met.where(F.col("pair") | ((F.col("n") < 0) & (F.col("m") < 0)) | self.enough()), "candidates")
+
+    def enough(self):
+        """Whether the number of shared prefix tokens allows a link.
+
+        Let u's prefix be the one that ends first in the order of tokens (rare ones are all in the prefix of a set that reaches
+        frequent ones). The tokens that u and v share up to there are signatures of both; beyond it u has those that its prefix
+        leaves. So both share at most the signatures in common and the larger of the two rests.
+        """
+        rest = lambda c: F.expr(f"({self.percent} * abs({c}) + 99) div 100 - 1")
+        needed = F.expr(f"({self.percent} * (abs(n) + abs(m)) + {99 + self.percent}) div {100 + self.percent}")
+        return F.col("shared") + F.greatest(rest("n"), rest("m")) >= needed
 
     def run(self) -> DataFrame:
         """Every row's doc_id, key, n_shingles, component_id, and whether it is the first of its component."""
         bands = self.bands()
         near = self.leaders(bands, 2)
-        self.verify(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v")))
+        self.verify(self.work.write(near.groupBy("u").agg(F.min(F.struct("apart", "v")).alias("best")).select("u", F.col("best.v").alias("v")), "nearest"))
         self.verify(self.leaders(bands, 6))
-        self.work.drop(bands)
         self.verify(self.candidates())
         nodes = self.nodes.select("node", "doc", "key")
         if self.joined is None:
@@ -389,7 +472,7 @@ class Join:
         else:
             nodes = nodes.join(self.joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
             named = nodes.select("node", "component").join(nodes.groupBy("component").agg(least_row("doc").alias("row")), "component").select("node", "row")
-        rows = self.scanned.where("n >= 0").select("doc_id", "key", "node", F.col("n").alias("n_shingles"))
+        rows = self.rows
         first = F.col("doc_id").eqNullSafe(F.col("row.doc")) & (F.col("key") == F.col("row.key"))
         out = rows.where("n_shingles > 0").join(named, "node").select("doc_id", "key", "n_shingles", F.col("row.doc").alias("component_id"), first.alias("first"))
         return out.union(rows.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("first")))
