@@ -254,7 +254,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score stays under the cut."""
+    """The rows of ``docs`` whose score stays under the cut, each judged by its own text; without usable labels, all."""
     model = fit(docs, labels, cut)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.select("*", F.col("text").alias("__scored")).mapInArrow(_scored(model, "__score"), f"{kinds}, __score double").where(F.col("__score") < cut).select(*[f"`{c}`" for c in docs.columns])
