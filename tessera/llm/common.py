@@ -43,6 +43,17 @@ class Workspace:
             remove(self.spark, path)
 
 
+#: What operators keep in a worker process from one task to the next, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def release(owner: str = "") -> None:
+    """Drops what other operators keep in this worker process, which goes on to serve ``owner``."""
+    for name, cache in CACHES.items():
+        if name != owner:
+            cache.clear()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case."""
     used = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, chunks, free_name, marked_by, prefix_hashes, span_hashes
+from .common import Workspace, chunks, free_name, marked_by, prefix_hashes, release, span_hashes
 
 #: Bytes to bytes: separators become spaces, capitals small letters.
 NORMAL = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -121,6 +121,7 @@ def _scanned(found, text_at: int, name: str):
     """Adds what the windows of ``found``, a broadcast variable, hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scanner = Scanner(found.value)
         for batch in batches:
             for a, b, texts in chunks(batch, text_at):

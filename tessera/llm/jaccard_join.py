@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, chunks, mix, possible, prefix_hashes, span_hashes
+from .common import Workspace, chunks, mix, possible, prefix_hashes, release, span_hashes
 from .components import components
 
 #: A to Z to small letters, on bytes.
@@ -138,6 +138,7 @@ SLICE, FULL = 1 << 18, 65_535
 
 def _scan(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts, seen = np.zeros(1 << bits, np.uint16), set()
         names = ["doc_id", "key", "node", "n", "sketch", "bins", "counts"]
         for batch in batches:
@@ -243,6 +244,7 @@ def _signed(width: int, percent: int, bits: bytes):
     """Texts to (node, n, signatures, small); for sets whose prefix reaches a frequent token, n is negative and small their least odd sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         frequent, seen = np.frombuffer(bits, np.uint8), set()
         for batch in batches:
             for _, _, texts in chunks(batch, 0):
@@ -314,6 +316,7 @@ def _verified(width: int, percent: int):
     """(leader, part, leaf, text) sorted so that a leader's own row (leaf null) comes first: the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         leader, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             u, v = [], []

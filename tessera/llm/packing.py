@@ -26,12 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Workspace
+from .common import CACHES, Workspace, release
 
 #: Distinct words of each of two generations that a worker keeps the ids of; a full generation replaces the older one.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
 #: By the tokenizer's digest: what this worker process has made last, for its later tasks; of one tokenizer only.
 _MADE: dict[str, WordIds] = {}
+CACHES["packing"] = _MADE
 
 
 class _Known(dict):
@@ -106,6 +107,7 @@ def _pieces(model: str, capacity: int, end_id: int):
         from pyspark import TaskContext
 
         task, seen, made = TaskContext.get().partitionId(), defaultdict(int), hashlib.sha256(model.encode()).hexdigest()
+        release("packing")
         for batch in batches:
             if made not in _MADE:
                 _MADE.clear()

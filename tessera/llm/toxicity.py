@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace
+from .common import Workspace, release
 
 #: Bound of the fitting sample in rows with a label, rows without one for each of them, and the bound of the words that carry a weight.
 SAMPLE, UNLABELLED, WORDS = 16_000, 1 / 16, 400
@@ -59,6 +59,7 @@ def patterns(text: bytes, n_words: int) -> list[int]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (word, toxic rows, other rows) of each batch."""
+    release()
     for batch in batches:
         held: dict[bytes, list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
@@ -209,6 +210,7 @@ class Model:
 
 def _scored(model: Model | None, name: str = "score"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scores = [model.score((t.as_py() or "").encode()) if model else 0.0 for t in batch.column(batch.num_columns - 1)]
             yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], name])

@@ -39,8 +39,8 @@ def test_counts_of_awkward_rows(spark, piece):
 
 
 def test_counts_query_against_library(spark, piece):
-    got = sorted([tuple(r)[:4] for r in queries.op9_token_counts(spark, "/root/testdata/sf0.001").collect()], key=repr)
-    assert got == expected_counts([(r["doc_id"], r["text"]) for r in data("documents")], piece)
+    got = sorted([tuple(r)[:4] for r in queries.op9_token_counts(spark, "/root/testdata/sf0.01").collect()], key=repr)
+    assert got == expected_counts([(r["doc_id"], r["text"]) for r in data("documents", "sf0.01")], piece)
 
 
 def test_cache_holds_each_text_once_and_is_reused(spark, tmp_path):
@@ -173,3 +173,13 @@ def test_packing_makes_one_encoder_for_all_batches(monkeypatch):
     batches = [pa.record_batch([pa.array([k], pa.int64()), pa.array(["some text"])], ["doc_id", "text"]) for k in (11, 12, 13)]
     out = list(packing._pieces(Path(BYTES).read_text("utf-8"), 2048, 0)(iter(batches)))
     assert [b.column(0).to_pylist() for b in out] == [[11], [12], [13]] and len(made) == 1
+
+
+def test_a_worker_that_serves_another_operator_gives_up_what_packing_kept():
+    from tessera.llm import common
+
+    packing._MADE["digest"] = object()
+    common.release("packing")
+    assert packing._MADE
+    common.release()
+    assert not packing._MADE
