@@ -151,11 +151,9 @@ def _own(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sinks: what a result gives, as a frame again ---
 @_query("sink_batches", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 200000")
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import pyarrow as pa
-
     ctx = EngineContext(spark, {"csv.batch_size": 100})
     frame = ctx.parquet(f"{sf_dir}/orders.parquet").filter(c("o_totalprice") > 200000.0).project(["o_orderkey", "o_orderstatus"])
-    return ctx.memory(pa.Table.from_batches(ctx.execute_batches(frame))).df
+    return ctx.batches(ctx.execute_batches(frame), frame.schema()).df
 
 
 @_query("sink_csv_text", "SELECT 'r_regionkey,r_name' AS line UNION ALL SELECT r_regionkey || ',' || r_name FROM region")

@@ -7,7 +7,7 @@ names. Names live in the session's temporary views; contexts on one session shar
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from os import PathLike
 
 import pyarrow as pa
@@ -57,6 +57,10 @@ class EngineContext:
     def memory(self, rows: pa.Table | list[object], schema: T.StructType | str | None = None) -> Frame:
         return Frame(sources.memory(self.spark, rows, schema))
 
+    def batches(self, stream: Iterable[pa.RecordBatch], schema: T.StructType) -> Frame:
+        """The rows of a stream of Arrow batches, through the shared folder, so that the driver never holds them all."""
+        return Frame(sources.batches(self.spark, stream, schema))
+
     def table(self, name: str) -> Frame:
         return Frame(self.spark.table(name))
 

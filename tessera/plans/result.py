@@ -9,11 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def _packed(size: int):
+def _packed(size: int, limit: int = 1 << 20):
+    """A row for each part of a batch, its Arrow stream. What executors run is all inside: they needn't have this package."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """In order, cut at multiples of ``size`` until a part has at most ``limit`` bytes or ``size`` rows."""
+        if batch.num_rows <= size or batch.nbytes <= limit:
+            yield batch
+        else:
+            half = max(1, batch.num_rows // size // 2) * size
+            yield from parts(batch.slice(0, half))
+            yield from parts(batch.slice(half))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for part in parts(batch) if batch.num_rows else ():
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as stream:
                     stream.write_batch(part)
@@ -43,10 +53,17 @@ class Result:
         return self.df.toArrow().to_batches()
 
     def batches(self, size: int = 1024) -> Iterator[pa.RecordBatch]:
-        """Batches of at most ``size`` rows. The driver holds those of one partition at a time."""
+        """Batches of at most ``size`` rows. The driver holds those of one partition at a time.
+
+        They travel many together, about a megabyte, and are cut in the driver: small ones cost no message each.
+        """
+        if size < 1:
+            raise ValueError(f"a batch has one row at least, not {size}")
         for row in self.df.mapInArrow(_packed(size), "batch binary").toLocalIterator():
             with pa.ipc.open_stream(row["batch"]) as stream:
-                yield from stream
+                for part in stream:
+                    for at in range(0, part.num_rows, size):
+                        yield part.slice(at, size)
 
     def to_markdown(self, limit: int | None = None, truncate: bool = False) -> str:
         """A pipe table; with ``truncate``, values of over 30 characters are cut to 27 and dots."""

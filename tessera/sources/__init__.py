@@ -1,6 +1,6 @@
-"""Sources: delimited text, Parquet files and folders, rows in memory, and own sources."""
+"""Sources: delimited text, Parquet files and folders, rows in memory, streams of batches, and own sources."""
 
 from .custom import Comparison, DataSource, custom
-from .readers import csv, memory, parquet
+from .readers import batches, csv, memory, parquet
 
-__all__ = ["Comparison", "DataSource", "csv", "custom", "memory", "parquet"]
+__all__ = ["Comparison", "DataSource", "batches", "csv", "custom", "memory", "parquet"]

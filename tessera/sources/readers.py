@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import csv as _csv
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from os import PathLike
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from ..storage import scratch
+
 
 def _head(spark: SparkSession, path: str, size: int = 4096) -> str:
     """The first bytes of the first file at a path, from whatever store Spark reads."""
@@ -49,5 +51,36 @@ def parquet(spark: SparkSession, path: str | PathLike[str]) -> DataFrame:
 def memory(spark: SparkSession, rows: pa.Table | Iterable[object], schema: T.StructType | str | None = None) -> DataFrame:
     """An Arrow table, or rows with a schema."""
     if isinstance(rows, (pa.Table, pa.RecordBatch)):
-        return spark.createDataFrame(rows if isinstance(rows, pa.Table) else pa.Table.from_batches([rows]))
+        table = rows if isinstance(rows, pa.Table) else pa.Table.from_batches([rows])
+        return spark.createDataFrame(table.combine_chunks())  # Spark makes a partition of each chunk, however small
     return spark.createDataFrame(list(rows), schema)
+
+
+#: Bytes and batches of a stream that the driver holds before they go to the shared folder.
+HELD_BYTES, HELD_BATCHES = 1 << 25, 1 << 16
+
+
+def _held(stream: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of a stream, as many together as may be held."""
+    held, size = [], 0
+    for batch in stream:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES or len(held) >= HELD_BATCHES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def batches(spark: SparkSession, stream: Iterable[pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """The rows of a stream of Arrow batches of one schema, read once, to its end.
+
+    What comes goes to the shared folder in files of about ``HELD_BYTES``, so the driver never holds the whole; a stream without
+    batches is an empty table.
+    """
+    path = scratch(spark, "batches")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for held in _held(stream):
+        spark.createDataFrame(pa.Table.from_batches(held).combine_chunks(), schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

@@ -219,3 +219,40 @@ def test_windowed_counts_on_a_stream(ctx, spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT SUM(n) FROM counted").first()[0] == 50
+
+
+def test_many_small_batches_become_few_partitions(ctx, spark, monkeypatch):
+    from tessera.sources import readers
+
+    kept = spark.conf.get("spark.sql.execution.arrow.localRelationThreshold")
+    spark.conf.set("spark.sql.execution.arrow.localRelationThreshold", "0")
+    try:
+        small = [pa.record_batch({"id": pa.array([k], pa.int64())}) for k in range(300)]
+        assert ctx.memory(pa.Table.from_batches(small)).df.rdd.getNumPartitions() == 1
+        assert sorted(rows(ctx.batches(iter(small), ctx.memory(small[0]).schema()))) == [(k,) for k in range(300)]
+        monkeypatch.setattr(readers, "HELD_BATCHES", 100)
+        frame = ctx.batches(iter(small), ctx.memory(small[0]).schema())
+        assert sorted(rows(frame)) == [(k,) for k in range(300)] and len(frame.df.inputFiles()) >= 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.localRelationThreshold", kept)
+
+
+def test_a_stream_of_batches_keeps_types_and_may_be_empty(ctx, spark):
+    typed = ctx.sql("SELECT id, IF(id % 7 = 0, NULL, CAST(id AS STRING)) AS s, TIMESTAMP_NTZ'2020-01-01 00:00:00' + id * INTERVAL '1' DAY AS n, TIMESTAMP'2020-01-01 00:00:00' AS t FROM range(0, 5000, 1, 3)")
+    batches = list(EngineContext(spark, {"csv.batch_size": 100}).execute_batches(typed))
+    assert {b.num_rows for b in batches} <= set(range(1, 101)) and sum(b.num_rows for b in batches) == 5000
+    again = ctx.batches(iter(batches), typed.schema())
+    assert [f.dataType for f in again.schema()] == [f.dataType for f in typed.schema()] and rows(again) == rows(typed)
+    none = ctx.batches(iter([]), typed.schema())
+    assert rows(none) == [] and none.schema().names == ["id", "s", "n", "t"]
+
+
+def test_batches_travel_together_up_to_a_megabyte(spark):
+    from tessera.plans.result import _packed
+
+    batch = pa.record_batch({"s": ["x" * 1000] * 5050})
+    parts = [pa.ipc.open_stream(b["batch"][0].as_py()).read_all() for b in _packed(100)(iter([batch]))]
+    assert sum(p.num_rows for p in parts) == 5050 and all(p.num_rows % 100 == 0 for p in parts[:-1])
+    assert 5 <= len(parts) <= 16 and max(p.nbytes for p in parts) <= 1 << 20
+    with pytest.raises(ValueError):
+        next(EngineContext(spark).execute(spark.range(1)).batches(0))
