@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from . import functions as X, streaming
@@ -264,7 +265,7 @@ _verbs("agg_nan_key", "SELECT CAST(COUNT(DISTINCT k) AS BIGINT) AS groups, CAST(
     lambda t: t("lineitem").project([(X.cast(c("l_linenumber"), "double") + X.function("if", c("l_linenumber") == 1, X.cast("NaN", "double"), 0.0)).alias("k")]).aggregate(["k"], [X.count_rows().alias("n")]).aggregate([], [X.count_rows().alias("groups"), X.sum_(c("n")).alias("total")])
 )
 _verbs("agg_user_defined", "SELECT l_returnflag, CAST(MAX(l_linenumber) - MIN(l_linenumber) AS BIGINT) AS spread FROM lineitem GROUP BY l_returnflag")(
-    lambda t: t("lineitem").aggregate(["l_returnflag"], [X.user_aggregate("spread", lambda v: int(v.max() - v.min()), "int64")(c("l_linenumber"))])
+    lambda t: t("lineitem").aggregate(["l_returnflag"], [X.user_aggregate("spread", lambda low, high: None if pd.isna(high.max()) else int(high.max() - low.min()), "int64", lambda v: (v.min(), v.max()))(c("l_linenumber"))])
 )
 _verbs("agg_of_built_in_by_name", "SELECT l_returnflag, ROUND(STDDEV_SAMP(l_quantity), 6) AS deviation FROM lineitem GROUP BY l_returnflag")(
     lambda t: t("lineitem").aggregate(["l_returnflag"], [X.function("round", X.function("stddev_samp", c("l_quantity")), X.cast(6, "int")).alias("deviation")])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column as SparkColumn, DataFrame, functions as F, types as T
 
 from .types import spark_type
@@ -171,11 +172,16 @@ sum_, min_, max_, avg = _aggregate("SUM", F.sum), _aggregate("MIN", F.min), _agg
 count, count_distinct = _aggregate("COUNT", F.count), _aggregate("COUNT_DISTINCT", F.count_distinct)
 
 
-def user_aggregate(name: str, reduce: Callable[..., object], kind: object) -> Callable[..., Expression]:
-    """An aggregate of one's own: ``reduce`` gets a pandas Series for each argument, with all values of a group, and gives one value.
+def user_aggregate(name: str, reduce: Callable[..., object], kind: object, partial: Callable[..., tuple] | None = None) -> Callable[..., Expression]:
+    """An aggregate of one's own: ``reduce`` gets a pandas Series for each argument and gives one value.
 
-    It has no partial step, so a group's values meet in one task; built-in aggregates (``function``) combine before the shuffle.
+    Without ``partial`` these are all values of a group, which meet in one task's memory, as a median needs it. With it, values
+    never meet: ``partial`` gets Series of some of a group's values, those of one batch, and gives a tuple of plain values;
+    ``reduce`` gets a Series for each place of the tuples, with an entry for each batch that has the group, in any order. Without
+    rows and groups the value is null. Built-in aggregates (``function``) combine before the shuffle too.
     """
+    if partial is not None:
+        return _combined(name, partial, reduce, kind)
 
     def whole(*values: pd.Series) -> float:  # the hints tell Spark that a group becomes a value, of whatever kind
         return reduce(*values)
@@ -189,6 +195,74 @@ def user_aggregate(name: str, reduce: Callable[..., object], kind: object) -> Ca
     return make
 
 
+def _combined(name: str, partial: Callable[..., tuple], reduce: Callable[..., object], kind: object) -> Callable[..., Expression]:
+    """``user_aggregate`` by parts: in each batch the first row of a group carries the state of all its rows there, other rows null.
+
+    What executors run is all inside: they needn't have this package.
+    """
+
+    def states(n_keys: int):
+        def run(*columns: pa.Array) -> pa.Array:
+            import pickle
+
+            import numpy as np
+
+            keys, values = columns[:n_keys], columns[n_keys:]
+            group = np.zeros(len(columns[0]), np.int64)
+            for key in keys:
+                if pa.types.is_nested(key.type):  # equal values look equal; Spark brings together what is kept apart here
+                    key = pa.array([repr(k) for k in key.to_pylist()], pa.string())
+                codes = np.asarray(key.dictionary_encode("encode").indices)
+                group = np.unique(group * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+            order = np.argsort(group, kind="stable")
+            starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+            out: list[bytes | None] = [None] * len(group)
+            series = [v.to_pandas(date_as_object=True) for v in values]
+            # local times without a zone, as pandas functions get them elsewhere
+            series = [s.dt.tz_localize(None) if getattr(s.dtype, "tz", None) else s for s in series]
+            for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
+                rows = order[start:end]
+                state = partial(*(s.iloc[rows].reset_index(drop=True) for s in series))
+                out[rows[0]] = pickle.dumps(tuple(x.item() if isinstance(x, np.generic) else x for x in state))
+            return pa.array(out, pa.binary())
+
+        return F.arrow_udf(run, T.BinaryType())
+
+    def total(groups: pd.Series) -> pd.Series:
+        import pickle
+
+        found = ([pickle.loads(bytes(s)) for s in g] for g in groups)
+        return pd.Series([reduce(*(pd.Series(list(place)) for place in zip(*g, strict=True))) if g else None for g in found], dtype=object)
+
+    total = F.pandas_udf(total, spark_type(kind))
+
+    def make(*args: object) -> Expression:
+        found = [of(a) for a in args]
+
+        def build(df: DataFrame) -> SparkColumn:
+            keys = grouping(df)
+            return total(F.collect_list(states(len(keys))(*keys, *(a.resolve(df) for a in found))))
+
+        return Expression(build, name)
+
+    return make
+
+
+def grouped(df: DataFrame, keys: list[Expression]) -> DataFrame:
+    """The rows of ``df`` as a frame that tells aggregates what it is grouped by."""
+    out = df.select("*")
+    out._tessera_keys = [k.resolve(out) for k in keys]
+    return out
+
+
+def grouping(df: DataFrame) -> list[SparkColumn]:
+    """The keys of a frame made by ``grouped``."""
+    found = getattr(df, "_tessera_keys", None)
+    if found is None:
+        raise ValueError("an aggregate by parts belongs into an aggregation")
+    return found
+
+
 def count_rows() -> Expression:
     """Rows, nulls or not: COUNT(*)."""
     return Expression(lambda df: F.count(F.lit(1)), "COUNT")

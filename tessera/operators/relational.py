@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.expressions import Expression, col, quoted
+from ..functions.expressions import Expression, col, grouped, quoted
 
 
 def _all(items: Sequence[Expression | str]) -> list[Expression]:
@@ -29,6 +29,7 @@ def filter_rows(df: DataFrame, predicate: Expression) -> DataFrame:
 
 def aggregate(df: DataFrame, groups: Sequence[Expression | str], aggregates: Sequence[Expression]) -> DataFrame:
     """Group columns, then aggregates. Without groups: one row, also for an empty input."""
+    df = grouped(df, _all(groups))
     aggs = [a.named(df) for a in aggregates]
     keys = [g.named(df) for g in _all(groups)]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)

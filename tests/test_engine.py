@@ -256,3 +256,40 @@ def test_batches_travel_together_up_to_a_megabyte(spark):
     assert 5 <= len(parts) <= 16 and max(p.nbytes for p in parts) <= 1 << 20
     with pytest.raises(ValueError):
         next(EngineContext(spark).execute(spark.range(1)).batches(0))
+
+
+def test_user_aggregate_by_parts_holds_a_batch_at_a_time(ctx, spark):
+    import pandas as pd
+
+    def part(v):
+        assert len(v) <= 100, "values of a group met"
+        return v.min(), v.max(), int(v.count())
+
+    spread = X.user_aggregate("spread", lambda low, high, n: None if n.sum() == 0 else int(high.max() - low.min()), "int64", part)
+    frame = ctx.sql("SELECT IF(id % 5 = 0, NULL, id % 3) AS k, CAST(IF(id % 3 = 1, NULL, id) AS INT) AS v, id FROM range(0, 5000, 1, 3)")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = rows(frame.aggregate(["k"], [X.count_rows(), spread(c("v")), X.count_distinct(c("id")).alias("ids"), X.add(spread(c("v")), 1).alias("more")]))
+        data = pd.DataFrame({"id": range(5000)})
+        data["k"], data["v"] = (data.id % 3).where(data.id % 5 != 0, -1), data.id.where(data.id % 3 != 1)
+        want = []
+        for k, g in data.groupby("k"):
+            s = None if g.v.isna().all() else int(g.v.max() - g.v.min())
+            want.append((None if k < 0 else k, len(g), s, len(g), None if s is None else s + 1))
+        assert got == sorted(want, key=repr)
+        assert rows(frame.aggregate([], [spread(c("v"))])) == [(4998,)]
+        assert rows(frame.filter(c("id") < 0).aggregate([], [spread(c("v"))])) == [(None,)]
+        assert rows(frame.filter(c("id") < 0).aggregate(["k"], [spread(c("v"))])) == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_user_aggregate_by_parts_keeps_groups_of_any_key_apart(ctx):
+    top = X.user_aggregate("top", lambda v: v.max(), "int64", lambda v: (v.max(),))
+    names = ["big", "x", "s", "t", "d"]
+    frame = ctx.sql("SELECT IF(id % 4 = 0, NULL, 9007199254740992 + id % 2) AS big, IF(id % 3 = 0, CAST('NaN' AS DOUBLE), IF(id % 3 = 1, -0.0D, 0.0D)) AS x, named_struct('a', CAST(id % 2 AS INT), 'b', NULL) AS s, timestamp_micros(id % 2) AS t, CAST(id % 2 AS DECIMAL(20, 2)) AS d, id FROM range(0, 600, 1, 2)")
+    for by in [*([n] for n in names), names]:
+        assert repr(rows(frame.aggregate(by, [top(c("id"))]))) == repr(rows(frame.aggregate(by, [X.max_(c("id")).alias("top")])))
+    with pytest.raises(ValueError):
+        frame.project([top(c("id"))])
