@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import CACHES, Workspace, release
 
 #: Distinct words of each of two generations that a worker keeps the ids of; a full generation replaces the older one.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: By the tokenizer's digest: what this worker process has made last, for its later tasks; of one tokenizer only.
 _MADE: dict[str, WordIds] = {}
 CACHES["packing"] = _MADE
@@ -78,16 +78,18 @@ class WordIds:
         self.find_latin = re.compile(rf" ?[{latin}]++|'(?:s|t|re|ve|m|ll|d)| ?[0-9]++| ?[^{space}{latin}0-9]++|[{space}]+(?![^{space}])|[{space}]+").findall
         plain_bytes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]  # written as themselves by byte-level BPE, the others as 256 and on
         self.letters = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain_bytes)}
-        self.known = _Known(self._ids, {})
+        pieces, letters = self.tokenizer.model.tokenize, self.letters
 
-    def _ids(self, word: str) -> bytes:
-        return array("I", [x.id for x in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        def make(word: str) -> bytes:  # not a method: a cycle would keep the words after the last reader
+            return array("I", [x.id for x in pieces(word.encode().decode("latin-1").translate(letters))]).tobytes()
+
+        self.known = _Known(make, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.known) > KEPT_WORDS:
             older, self.known.older = dict(self.known), {}
-            self.known = _Known(self._ids, older)
+            self.known = _Known(self.known.make, older)
         get, out = self.known.__getitem__, []
         for t in texts:
             if self.find is None or any(a in t for a in self.added):

@@ -183,3 +183,30 @@ def test_a_worker_that_serves_another_operator_gives_up_what_packing_kept():
     assert packing._MADE
     common.release()
     assert not packing._MADE
+
+
+def test_what_packing_kept_goes_back_to_the_system_at_once(tmp_path):
+    """In a process of its own, without the collector's help, as a worker may not meet it for long."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import gc, re, weakref
+from pathlib import Path
+from tessera.llm import common, packing
+gc.disable()
+memory = lambda: sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+packing._MADE["digest"] = ids = packing.WordIds(Path({BYTES!r}).read_text("utf-8"))
+ids.encode(["warm"])
+start = memory()
+ids.encode([" ".join(f"word{{k}}" for k in range(at, at + 1000)) for at in range(0, 150_000, 1000)])
+full, ref = memory(), weakref.ref(ids)
+del ids
+common.release("packing")
+assert ref() is not None
+common.release()
+assert ref() is None, "the words are kept by a cycle"
+assert full - memory() > 0.8 * (full - start), (start, full, memory())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
