@@ -1,6 +1,7 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Only joins and aggregates with partial sums run; no group of neighbours is gathered anywhere. Tables written to the shared
+Only joins and aggregates with partial sums run; no group of neighbours is gathered anywhere, and no side of a join in the driver,
+however few its rows: a broadcast would cost it a hash table and the tasks of one job more for each join. Tables written to the shared
 folder cut the lineage after each round. The rounds grow with the logarithm of the longest chain.
 """
 
@@ -14,7 +15,7 @@ from .common import Workspace
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = both.join(least.hint("merge"), "u")
     out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))

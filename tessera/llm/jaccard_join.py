@@ -179,15 +179,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
-def frequent_tokens(counts: DataFrame, bits: int) -> bytes:
+#: Jobs in which the sums of the sketch come to the driver.
+FETCHES = 8
+
+
+def frequent_tokens(counts: DataFrame, bits: int, work: Workspace) -> bytes:
     """One bit for each cell of the sketch: whether its count stands out. ``counts``: (part, counts) of all tasks.
 
-    At most 64 rows come to the driver, which holds the sums of one sketch.
+    At most 64 rows come to the driver, which holds the sums of one sketch. They are written first: taken from the shuffle, each
+    of its partitions would be a job of its own, one after the other, and the driver keeps a record of every job and stage.
     """
     sums = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_summed, "part long, sums binary")
     total = np.zeros(1 << bits, np.uint64)
-    for r in sums.toLocalIterator():
+    sums = work.write(sums, "sums")
+    for r in sums.coalesce(FETCHES).toLocalIterator():
         total[r["part"] * SLICE : (r["part"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["sums"]), np.uint64)
+    work.drop(sums)
     return np.packbits(total > 2 * total.mean() + 64).tobytes()
 
 
@@ -359,7 +366,7 @@ class Join:
         nodes = scanned.where("n > 0").groupBy("node").agg(least_row("doc_id").alias("row"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("bins").alias("bins"))
         self.nodes = self.work.write(nodes.select("node", "row.doc", "row.key", "n", "sketch", "bins"), "nodes")
         self.rows = self.work.write(scanned.where("n >= 0").select("doc_id", "key", "node", F.col("n").alias("n_shingles")), "rows")
-        self.frequent = frequent_tokens(scanned.where("n = -1").select(F.col("key").alias("part"), "counts"), self.bits)
+        self.frequent = frequent_tokens(scanned.where("n = -1").select(F.col("key").alias("part"), "counts"), self.bits, self.work)
         self.work.drop(scanned)
         self.links: DataFrame | None = None
         self.joined: DataFrame | None = None

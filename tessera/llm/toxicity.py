@@ -36,6 +36,8 @@ LEAST = 8
 LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 #: Bytes of a stem.
 STEMS = (4, 5, 6)
+#: Rows of the sample that fitting holds as floating point numbers at once.
+BLOCK = 1024
 #: The most log odds that all voters together may have.
 CLIP = 12.0
 PATTERNS = ["shouting", "exclaiming", "symbols", "digits", "repeating", "short", "lines"]
@@ -106,6 +108,10 @@ def voters(chosen: list[tuple[bytes, float]]) -> list[tuple[frozenset[bytes], in
     return out
 
 
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(k, k + BLOCK) for k in range(0, n, BLOCK))
+
+
 class LabelModel:
     """P(votes, y) with a tree of dependencies: each voter depends on y and on one other voter."""
 
@@ -116,11 +122,10 @@ class LabelModel:
         given = votes[:, -1]
         base = np.clip((given > 0).sum() / max(1, (given != 0).sum()), 0.01, 0.99)
         post = np.where(given == 0, base, (given > 0) * 0.8 + 0.1)
-        one_hot = np.stack([v == k for k in range(3)], 2).astype(float)
         self.parent = np.full(m, -1)
         for r in range(rounds):
             if r in (0, 8):
-                self.parent = self._tree(one_hot[:, :-1], post)
+                self.parent = self._tree(v[:, :-1], post)
             log = np.zeros((n, 2))
             for j in range(m - 1):
                 p = self.parent[j]
@@ -140,15 +145,20 @@ class LabelModel:
                 break
         return post
 
-    def _tree(self, one_hot: np.ndarray, post: np.ndarray) -> np.ndarray:
-        """The maximum spanning tree of the voters' mutual information given y; a voter's parent joined before it."""
-        n, m, _ = one_hot.shape
+    def _tree(self, v: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """The maximum spanning tree of the voters' mutual information given y; a voter's parent joined before it. Votes are 0 to 2."""
+        n, m = v.shape
         info = np.zeros((m, m))
         for weight in (1 - post, post):
             total = weight.sum() + 1e-9
-            flat = one_hot.reshape(n, -1)
-            joint = (flat.T @ (flat * weight[:, None])).reshape(m, 3, m, 3).transpose(0, 2, 1, 3) / total + 1e-6
-            single = (flat * weight[:, None]).sum(0).reshape(m, 3) / total + 1e-6
+            joint, single = np.zeros((3 * m, 3 * m)), np.zeros(3 * m)
+            for at in blocks(n):
+                flat = (v[at, :, None] == np.arange(3)).reshape(-1, 3 * m).astype(float)
+                weighed = flat * weight[at, None]
+                joint += flat.T @ weighed
+                single += weighed.sum(0)
+            joint = joint.reshape(m, 3, m, 3).transpose(0, 2, 1, 3) / total + 1e-6
+            single = single.reshape(m, 3) / total + 1e-6
             info += total / n * (joint * (np.log(joint) - np.log(single)[:, None, :, None] - np.log(single)[None, :, None, :])).sum((2, 3))
         parent, known = np.full(m, -1), []
         rest = list(range(m))
@@ -162,14 +172,16 @@ class LabelModel:
 
 def classify(x: np.ndarray, target: np.ndarray, penalty: float = 3.0, steps: int = 25) -> np.ndarray:
     """Weights of a logistic regression (the first is the intercept, without penalty), by Newton's method."""
-    x = np.concatenate([np.ones((len(x), 1)), x], 1)
-    ridge = np.full(x.shape[1], penalty)
+    ridge = np.full(x.shape[1] + 1, penalty)
     ridge[0] = 1e-6
-    w = np.zeros(x.shape[1])
+    w = np.zeros(len(ridge))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + ridge * w
-        hessian = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for at in blocks(len(x)):
+            rows = np.concatenate([np.ones((len(x[at]), 1)), x[at]], 1)
+            p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+            gradient += rows.T @ (p - target[at])
+            hessian += (rows * (p * (1 - p) + 1e-9)[:, None]).T @ rows
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -187,10 +199,10 @@ class Model:
         ruled = [vote * x[:, [self.index[w] for w in lex]].any(1) for lex, vote in self.voters]
         ruled = np.concatenate([np.array(ruled, np.int8).reshape(len(ruled), len(x)).T, shown.astype(np.int8)], 1)
         self.posterior = LabelModel().fit(np.concatenate([ruled, given.astype(np.int8)[:, None]], 1))
-        x = np.concatenate([x, ruled], 1).astype(float)
+        x = np.concatenate([x.astype(np.int8), ruled], 1)
         weights = classify(x, self.posterior)
         self.bias, self.word_weights, self.vote_weights = weights[0], weights[1 : 1 + len(chosen)], weights[1 + len(chosen) :]
-        raw = x @ weights[1:] + self.bias
+        raw = np.concatenate([x[at].astype(float) @ weights[1:] for at in blocks(len(x))]) + self.bias
         # the cut of the best F measure against the posterior labels, in the middle of its gap
         order = np.argsort(-raw, kind="stable")
         hit = np.cumsum(self.posterior[order])

@@ -2,14 +2,17 @@
 
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from cases import awkward, data, empty
+from pyspark.sql import functions as F
 from tessera.llm import queries
-from tessera.llm.common import mix
-from tessera.llm.jaccard_join import SKETCH_BITS, _shared, bins_of, least_apart, near_copies, one_of_each, prefix, signatures
+from tessera.llm.common import Workspace, mix
+from tessera.llm.components import _star, components
+from tessera.llm.jaccard_join import FETCHES, SKETCH_BITS, SLICE, _scan, _shared, bins_of, frequent_tokens, least_apart, near_copies, one_of_each, prefix, signatures
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -153,3 +156,42 @@ def test_shared_signatures_across_batches(seed):
     got = [tuple(r.values())[:2] for b in _shared(iter(table.to_batches(max_chunksize=int(rng.integers(1, 20))))) for r in b.to_pylist()]
     many = {s for s, _ in rows if len({c for t, c in rows if t == s}) > 1}
     assert got == sorted({r for r in rows if r[0] in many})
+
+
+def test_the_sketch_comes_to_the_driver_in_few_jobs(spark):
+    texts = [("one common passage of words " if k % 2 else "") + f"text {k} with {k * 7} own words {k * 13}" for k in range(400)]
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id long, text string, key long")
+    raw = docs.repartition(4).mapInArrow(_scan(4, SKETCH_BITS), "doc_id long, key long, node long, n long, sketch array<long>, bins binary, counts binary")
+    counts = raw.where("n = -1").select(F.col("key").alias("part"), "counts").localCheckpoint()
+    total = np.zeros(1 << SKETCH_BITS, np.uint64)
+    for part, packed in counts.collect():
+        total[part * SLICE : (part + 1) * SLICE] += np.frombuffer(zlib.decompress(packed), np.uint16)
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "48"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("sketch", "sketch")
+        got = frequent_tokens(counts, SKETCH_BITS, Workspace(spark, "sketch"))
+    finally:
+        spark.sparkContext.setJobGroup("tests", "tests")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == np.packbits(total > 2 * total.mean() + 64).tobytes() and any(got)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("sketch")) <= FETCHES + 4  # a job for each partition of the shuffle, before
+
+
+def test_components_of_random_links_without_a_broadcast(spark):
+    rng = np.random.default_rng(7)
+    links = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (260, 2))] + [(k, k + 1) for k in range(1000, 1040)]
+    up = {}
+    for a, b in links:
+        one, other = (min(c) for c in (up.setdefault(a, {a}), up.setdefault(b, {b})))
+        if one != other:
+            both = up[a] | up[b]
+            up |= dict.fromkeys(both, both)
+    edges = spark.createDataFrame(links, "u long, v long")
+    got = components(edges, Workspace(spark, "links")).collect()
+    assert sorted(map(tuple, got)) == sorted((x, min(c)) for x, c in up.items() if len(c) > 1)
+    for large in (True, False):
+        assert "Broadcast" not in _star(edges, large)._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 """Toxicity, surrogates, nearest neighbours, sharding and URL filter on awkward rows and whole tables."""
 
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from cases import awkward, data, empty
 from tessera.llm import queries, surrogates
 from tessera.llm.nearest import nearest
 from tessera.llm.sharding import balance_bytes, difference
-from tessera.llm.toxicity import LabelModel, clean, toxicity
+from tessera.llm.toxicity import SAMPLE, WORDS, LabelModel, Model, clean, toxicity
 from tessera.llm.url_filter import filter_urls
 
 SF = "/root/testdata/sf0.01"
@@ -90,6 +91,21 @@ def test_label_model_counts_copies_of_a_voter_once():
     assert (post == y)[labels == 0].mean() > 0.88  # a vote of four equal voters would decide by the copies
 
 
+def test_fitting_holds_the_sample_as_bytes():
+    rng = np.random.default_rng(3)
+    x = (rng.random((SAMPLE, WORDS)) < 0.05).astype(np.uint8)
+    y = x[:, :40].sum(1) > 3
+    chosen = [(b"word%d" % k, 3.0 if k < 20 else 1.5 if k < 40 else -0.5) for k in range(WORDS)]
+    tracemalloc.start()
+    try:
+        model = Model(chosen, x, (rng.random((SAMPLE, 7)) < 0.1).astype(np.int8), y * 2 - 1, 0.7)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert (model.posterior > 0.5).any() and np.isfinite(model.word_weights).all()
+    assert peak < 60, peak  # one copy of the sample in double precision is 50 MB, and there were several
+
+
 # --- surrogates ---
 def private(spark):
     texts = [
